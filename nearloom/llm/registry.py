@@ -29,8 +29,15 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from nearloom.llm.decontaminate import contamination
+
+    done = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return done.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op4_gif_media, op5_packing)}
+    return {f.__name__: f for f in (op1_line_dedup, op4_gif_media, op5_packing, op8_decontamination)}
 
 
 def _lower(x: str) -> str:
@@ -58,5 +65,33 @@ FROM judged GROUP BY doc_id
 """
 
 
+_WORDS = "regexp_extract_all({}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+OP8_SQL = f"""
+WITH d AS (
+  SELECT doc_id, coalesce({_WORDS.format(_lower("text"))}, []) AS w FROM documents
+), b AS (
+  SELECT item_id, {_WORDS.format(_lower("text"))} AS w FROM benchmark
+), win AS (
+  SELECT item_id, list_slice(w, p, p + least(10, len(w)) - 1) AS words, least(10, len(w)) AS n
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS p FROM b WHERE len(w) > 0)
+), starts AS (
+  SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM d
+), hit AS (
+  SELECT s.doc_id, s.p, v.n, v.item_id
+  FROM starts s JOIN win v ON s.w[s.p] = v.words[1] AND list_slice(s.w, s.p, s.p + v.n - 1) = v.words
+), covered AS (
+  SELECT doc_id, count(DISTINCT q) AS n_hit
+  FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM hit) GROUP BY doc_id
+), held AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hit) GROUP BY doc_id
+)
+SELECT d.doc_id, len(d.w) AS n_words, coalesce(c.n_hit, 0) AS n_hit, coalesce(h.n_items, 0) AS n_items,
+       sha256(coalesce(h.items, '')) AS items_sha256, c.n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN covered c USING (doc_id) LEFT JOIN held h USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op8_decontamination": OP8_SQL}
