@@ -36,8 +36,14 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
 
 
+def op10_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from nearloom.llm.neardup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), k=2)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op4_gif_media, op5_packing, op8_decontamination)}
+    return {f.__name__: f for f in (op1_line_dedup, op4_gif_media, op5_packing, op8_decontamination, op10_setsketch)}
 
 
 def _lower(x: str) -> str:
