@@ -12,6 +12,9 @@ from pyspark.sql import types as T
 #: Bytes of text that one Arrow batch may hold before a Python operator yields its output.
 FLUSH_BYTES = 8 << 20
 
+#: Ids that may be broadcast: some 64 MB as a hashed relation.  Always counted first.
+BROADCAST_IDS = 1_000_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One Parquet table of a data folder; always through Spark's own reader."""

@@ -17,6 +17,14 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text"), 256).alias("kept_sha256"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from nearloom.llm import toxicity
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return done.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op4_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from nearloom.llm.media import texts_as_gif
 
@@ -43,7 +51,7 @@ def op10_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op4_gif_media, op5_packing, op8_decontamination, op10_setsketch)}
+    return {f.__name__: f for f in (op1_line_dedup, op3_toxicity, op4_gif_media, op5_packing, op8_decontamination, op10_setsketch)}
 
 
 def _lower(x: str) -> str:
