@@ -44,6 +44,14 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from nearloom.llm.suffixes import remove_repeats
+
+    done = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s.b - s.a)
+    return done.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     from nearloom.llm.neardup import near_duplicates
 
@@ -51,7 +59,7 @@ def op10_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op3_toxicity, op4_gif_media, op5_packing, op8_decontamination, op10_setsketch)}
+    return {f.__name__: f for f in (op1_line_dedup, op3_toxicity, op4_gif_media, op5_packing, op8_decontamination, op9_suffix_dedup, op10_setsketch)}
 
 
 def _lower(x: str) -> str:
