@@ -17,6 +17,12 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text"), 256).alias("kept_sha256"))
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from nearloom.llm.urlfilter import filter_urls
+
+    return filter_urls(table(spark, sf_dir, "pages"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from nearloom.llm import toxicity
 
@@ -59,7 +65,7 @@ def op10_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op3_toxicity, op4_gif_media, op5_packing, op8_decontamination, op9_suffix_dedup, op10_setsketch)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_url_filter, op3_toxicity, op4_gif_media, op5_packing, op8_decontamination, op9_suffix_dedup, op10_setsketch)}
 
 
 def _lower(x: str) -> str:
