@@ -43,6 +43,12 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from nearloom.llm.template import extract
+
+    return extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from nearloom.llm.decontaminate import contamination
 
@@ -65,7 +71,7 @@ def op10_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_url_filter, op3_toxicity, op4_gif_media, op5_packing, op8_decontamination, op9_suffix_dedup, op10_setsketch)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_url_filter, op3_toxicity, op4_gif_media, op5_packing, op6_html_extraction, op8_decontamination, op9_suffix_dedup, op10_setsketch)}
 
 
 def _lower(x: str) -> str:
