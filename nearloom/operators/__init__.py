@@ -1,0 +1 @@
+"""Nearest-neighbour operators, exact and approximate."""

@@ -1,0 +1 @@
+"""Feeding an index from a stream."""
