@@ -49,6 +49,15 @@ def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from nearloom.llm import secretscan
+
+    done = secretscan.scan(table(spark, sf_dir, "documents"), secretscan.fit(spark))
+    spots = F.transform("findings", lambda f: F.concat_ws(":", f["start"].cast("string"), f["length"].cast("string")))
+    best = F.coalesce(F.array_max(F.transform("findings", lambda f: f["score"])), F.lit(0.0))
+    return done.select("doc_id", "n_candidates", "n_findings", F.array_join(spots, ",").alias("findings"), best.alias("best_score"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from nearloom.llm.decontaminate import contamination
 
@@ -71,7 +80,7 @@ def op10_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_url_filter, op3_toxicity, op4_gif_media, op5_packing, op6_html_extraction, op8_decontamination, op9_suffix_dedup, op10_setsketch)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_url_filter, op3_toxicity, op4_gif_media, op5_packing, op6_html_extraction, op7_secret_scan, op8_decontamination, op9_suffix_dedup, op10_setsketch)}
 
 
 def _lower(x: str) -> str:
