@@ -2,6 +2,88 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from nearloom.operators.index import VectorIndex
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder below the one that the cluster shares."""
+    from nearloom.sources.keys import checkpoint_folder
+
+    return f"{checkpoint_folder(spark)}/nearloom-index-{uuid.uuid4().hex}"
+
+
+def _indexed(spark: SparkSession, sf_dir: str, **options) -> tuple[VectorIndex, list[float]]:
+    e = _table(spark, sf_dir, "embeddings")
+    index = VectorIndex.create(e, shared_folder(spark), "embeddings_idx", table="embeddings", **options)
+    return index, list(e.where("vec_id = 0").first().embedding)
+
+
+def _rounded(df: DataFrame, *more: str) -> DataFrame:
+    return df.select(*more, F.col("key").alias("vec_id"), F.round("dist", 6).alias("dist"))
+
+
+def hnsw_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index, query = _indexed(spark, sf_dir)
+    return _rounded(index.search(query, 10))
+
+
+def hnsw_search_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index, query = _indexed(spark, sf_dir, metric="cosine")
+    return _rounded(index.search(query, 10))
+
+
+def hnsw_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index, query = _indexed(spark, sf_dir)
+    return _rounded(index.search(query, 10, _table(spark, sf_dir, "embeddings").where("label = 3").select("vec_id")))
+
+
+def hnsw_filtered_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index, query = _indexed(spark, sf_dir)
+    return _rounded(index.search(query, 10, _table(spark, sf_dir, "documents").where("lang = 'fr'").select("doc_id")))
+
+
+def hnsw_grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index, query = _indexed(spark, sf_dir)
+    return _rounded(index.search_grouped(query, 3, _table(spark, sf_dir, "embeddings").select("vec_id", "label")), "group", "rank")
+
+
+def hnsw_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index, _ = _indexed(spark, sf_dir)
+    asked = _table(spark, sf_dir, "embeddings").where("vec_id < 5").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
+    return _rounded(index.join(asked, 3), "qid", "rank")
+
+
+def hnsw_rabitq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index, query = _indexed(spark, sf_dir, quantization="rabitq", metric="cosine")
+    return _rounded(index.search(query, 10))
+
+
+def hnsw_crud(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search after an insert, a delete and a compaction."""
+    e = _table(spark, sf_dir, "embeddings")
+    index, query = _indexed(spark, sf_dir)
+    index.delete(e.where("label = 3").select("vec_id"))
+    index.insert(e.where("label = 3").select((F.col("vec_id") + 1_000_000).alias("vec_id"), "embedding"))
+    index.compact()
+    return _rounded(index.search(query, 10))
+
+
+def index_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index, _ = _indexed(spark, sf_dir)
+    return index.info()
+
+
+def queries() -> dict[str, Query]:
+    return {f.__name__: f for f in (hnsw_search, hnsw_search_cosine, hnsw_filtered, hnsw_filtered_metadata, hnsw_grouped, hnsw_join, hnsw_rabitq, hnsw_crud, index_info)}

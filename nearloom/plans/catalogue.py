@@ -291,7 +291,7 @@ def center_of(spark: SparkSession, sf_dir: str, metric: str = "l2sq") -> list[fl
 
 def _codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = rabitq.with_code(table(spark, sf_dir, "embeddings"), center_of(spark, sf_dir))
-    return coded.select("vec_id", F.bit_count(F.col("code.bits")[0]).cast("long").alias("ones"), F.round("code.norm", 5).cast("double").alias("norm"), F.round("code.vdot", 5).cast("double").alias("vdot"))
+    return coded.select("vec_id", F.bit_count(F.col("code.bits")[0]).cast("long").alias("ones"), F.col("code.norm").cast("double").alias("norm"), F.col("code.vdot").cast("double").alias("vdot"))
 
 
 _add(
