@@ -18,7 +18,7 @@ Which starts recur is then exact:
 
 Documents are known by a 128-bit hash of their text, as equal texts lose equal bytes; the long
 texts are cut into slices of ``SLICE`` starts.  Fingerprints have 128 bits in all, and no text is
-shuffled while fewer than ``BROADCAST_IDS`` documents are concerned.
+shuffled while the ranges concerned, and then the runs to remove, are within ``BROADCAST_IDS``.
 
 Defined results: a null text is empty; texts shorter than ``length`` lose nothing; repeated rows
 are repeats of each other; an empty table gives an empty result; other columns ride along.
@@ -238,7 +238,7 @@ class IndexFamily:
         wanted = kinds.join(several, "h").select("h", "kinds", "one.*")
         by_text = wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "lo", "hi")).alias("wanted"))
         by_text = checkpointed(by_text)
-        few = F.broadcast(by_text) if by_text.count() <= BROADCAST_IDS else by_text
+        few = _broadcast_if_small(by_text, "wanted")
         held = texts.join(few, ["k1", "k2"]).select("k1", "k2", "text", "wanted")
         contexts = held.mapInArrow(_contexts(self.length), "h long, k1 long, k2 long, lo int, bytes binary").dropDuplicates(["h", "k1", "k2", "lo"])
         contexts = checkpointed(contexts.join(several, "h").repartition(shuffle_partitions(texts.sparkSession), "h", F.when(F.col("kinds") > HOT, F.xxhash64("k1", "lo"))))
@@ -257,7 +257,31 @@ class IndexFamily:
         for p in parts[1:]:
             every = every.unionByName(p)
         spans = every.groupBy("k1", "k2").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("all"))
-        return spans.select("k1", "k2", "all")
+        return spans.select("k1", "k2", "all").mapInArrow(_merged, "k1 long, k2 long, all array<struct<a:int, b:int>>")
+
+
+def _runs(spans: list[dict]) -> list[list[int]]:
+    """Maximal runs of intervals that come in order."""
+    merged: list[list[int]] = []
+    for s in spans:
+        if merged and s["a"] <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], s["b"])
+        else:
+            merged.append([s["a"], s["b"]])
+    return merged
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    span = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
+    for batch in batches:
+        runs = [[{"a": a, "b": b} for a, b in _runs(x.as_py())] for x in batch.column(2)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(runs, span)], names=["k1", "k2", "all"])
+
+
+def _broadcast_if_small(df: DataFrame, lists: str) -> DataFrame:
+    """For a broadcast, if rows and list elements together are within ``BROADCAST_IDS``."""
+    held = df.agg(F.coalesce(F.sum(F.size(lists) + F.lit(1)), F.lit(0))).first()[0]
+    return F.broadcast(df) if held <= BROADCAST_IDS else df
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,12 +292,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             batch = whole.slice(at, step)
             kept, runs, sizes = [], [], []
             for text, spans in zip(binary_list(batch.column(0)), batch.column(2), strict=True):
-                merged: list[list[int]] = []
-                for s in spans.as_py() or []:
-                    if merged and s["a"] <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], s["b"])
-                    else:
-                        merged.append([s["a"], s["b"]])
+                merged = _runs(spans.as_py() or [])
                 out, upto = [], 0
                 for a, b in merged:
                     out.append(text[upto:a])
@@ -297,7 +316,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     for b in range(batches):
         family.add(texts.where(F.pmod("k2", F.lit(batches)) == b))
     spans = checkpointed(family.intervals(texts))
-    few = F.broadcast(spans) if spans.count() <= BROADCAST_IDS else spans
+    few = _broadcast_if_small(spans, "all")
     whole = keyed.join(few, ["k1", "k2"], "left").select("__text", "__rest", "all")
     span = T.ArrayType(T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]))
     schema = T.StructType([T.StructField("kept", T.BinaryType()), T.StructField("__rest", rest), T.StructField("spans", span), T.StructField("size", T.LongType())])
