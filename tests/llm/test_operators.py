@@ -96,10 +96,10 @@ def test_sketches_merge_and_estimate():
     for share in (0.5, 0.8, 0.95):
         common, n = g.integers(0, 1 << 63, 1000, dtype=np.uint64), int(1000 * (1 - share) / (2 * share))
         a, b = (np.concatenate([common, g.integers(0, 1 << 63, n, dtype=np.uint64)]) for _ in range(2))
-        x, y = (np.frombuffer(neardup.sketch(v), np.uint8) for v in (a, b))
-        assert (np.maximum(x, y) == np.frombuffer(neardup.sketch(np.concatenate([a, b])), np.uint8)).all()
+        x, y = (np.frombuffer(neardup.sketch(v), "<u2") for v in (a, b))
+        assert (np.maximum(x, y) == np.frombuffer(neardup.sketch(np.concatenate([a, b])), "<u2")).all()
         assert neardup.possible(x[None], y[None], np.array([len(a)]), np.array([len(b)]), 0.8)[0] or share < 0.7
-    far = np.frombuffer(neardup.sketch(g.integers(0, 1 << 63, 900, dtype=np.uint64)), np.uint8)
+    far = np.frombuffer(neardup.sketch(g.integers(0, 1 << 63, 900, dtype=np.uint64)), "<u2")
     assert not neardup.possible(x[None], far[None], np.array([1000]), np.array([900]), 0.8)[0]
 
 
