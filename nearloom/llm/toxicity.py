@@ -9,7 +9,7 @@ to the labels' own shares, turns a document's greatest window and mean window in
 Rows whose crc32(doc_id as text) mod 4 is 2 are held out of all fitting.  Scores use the text only.
 
 Defined results: null and empty texts are one window without words and get a score like any
-other; repeated rows get equal scores; of repeated labels the greatest counts, null ones do not;
+other; repeated rows get equal scores up to the rounding of single precision; of repeated labels the greatest counts, null ones do not;
 without labels of both kinds every score is 0; an empty table gives an empty result.
 """
 
