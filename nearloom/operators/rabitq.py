@@ -2,8 +2,9 @@
 
 A code holds bits for ``x - centroid`` (``x`` normalised for cosine), its norm, and the mean
 absolute coordinate of its direction times sqrt(D).  Two codes estimate their squared distance by
-the bits in which they differ.  Search takes ``k * oversample`` rows by the estimate and ranks
-them by their exact distances.
+the bits in which they differ.  Search takes ``k * oversample`` rows by the estimate; the exact
+distance of the k-th best of them is a limit, and every row whose code allows a distance within the
+limit is ranked by its exact distance.  The rows are those of an exact search, whatever the oversample.
 """
 
 from __future__ import annotations
@@ -92,8 +93,35 @@ def estimated_l2_squared(a: Column, b: Column, dims: int) -> Column:
     return na * na + nb * nb - 2 * na * nb * (a["vdot"].cast("double") * b["vdot"].cast("double") * agree / dims)
 
 
+def least_distance(code: Column, query: Sequence[float], center: Sequence[float], metric: str) -> Column:
+    """No row with this code is nearer to ``query``.
+
+    With c the direction of the bits, a rest is ``norm * (vdot * c + sqrt(1 - vdot^2) * u)`` for some
+    u at a right angle to c, so its product with q is at most that of ``vdot <c, q>`` and the length
+    of q at a right angle to c (Cauchy-Schwarz).  The slack covers floats of the code.
+    """
+    q, m, dims = np.array(query, np.float32).astype(np.float64), np.array(center, np.float64), len(center)
+    if metric == "cosine":
+        length = np.sqrt(q @ q)
+        q = q / length if length > 0 else q
+    if metric != "ip":
+        q = q - m
+    size = float(q @ q)
+    values = F.array(*[F.lit(float(v)) for v in q])
+    bit = lambda i: F.getbit(F.get(code["bits"], F.shiftright(i, 6)), i.bitwiseAND(F.lit(63))).cast("double")
+    ones = F.aggregate(F.transform(values, lambda v, i: v * bit(i)), F.lit(0.0), lambda s, v: s + v)
+    along = (2 * ones - F.lit(float(q.sum()))) / F.lit(float(np.sqrt(dims)))
+    norm, vdot = code["norm"].cast("double"), code["vdot"].cast("double")
+    across = F.sqrt(F.greatest(1 - vdot * vdot, F.lit(0.0)) + 1e-6) * F.sqrt(F.greatest(F.lit(size) - along * along, F.lit(0.0)) + 1e-12 * size)
+    most = norm * (vdot * along + across) + 1e-6 * norm * float(np.sqrt(size))
+    if metric == "ip":
+        return -(most + float(m @ q)) - 1e-6 * float(np.abs(m) @ np.abs(q))
+    squared = norm * norm * (1 - 1e-6) + size * (1 - 1e-6) - 2 * most
+    return F.sqrt(F.greatest(squared, F.lit(0.0))) if metric == "l2sq" else squared / 2
+
+
 def search(df: DataFrame, query: Sequence[float], k: int, center: Sequence[float], metric: str = "l2sq", key: str = "vec_id", vec: str = "embedding", oversample: int = 3, where: Column | str | None = None) -> DataFrame:
-    """The ``k`` nearest of the ``k * oversample`` that are nearest by their codes."""
+    """The ``k`` nearest; the ``k * oversample`` nearest by their codes only set the limit for the rest."""
     if oversample <= 0:
         raise ValueError("hnsw_rabitq_oversample must be greater than 0")
     metric, dims = distances.metric_name(metric), len(center)
@@ -102,4 +130,7 @@ def search(df: DataFrame, query: Sequence[float], k: int, center: Sequence[float
     rows = (df if where is None else df.where(where)).where(F.col(vec).isNotNull())
     coded = rows if "code" in df.columns else with_code(rows, center, metric, vec)
     near = coded.withColumn("__e", estimated_l2_squared(F.col("code"), asked, dims)).orderBy("__e", key).limit(k * oversample)
-    return knn(near.drop("__e", "code"), query, k, metric, key, vec)
+    first = knn(near.drop("__e", "code"), query, k, metric, key, vec)
+    limit = first.agg(F.count(F.when(~F.isnan("dist"), 1)).alias("__n"), F.max("dist").alias("__limit"))  # one row
+    within = (F.col("__n") < k) | (least_distance(F.col("code"), query, center, metric) <= F.col("__limit"))
+    return knn(coded.crossJoin(F.broadcast(limit)).where(within).drop("__n", "__limit", "code"), query, k, metric, key, vec)
