@@ -262,15 +262,15 @@ class VectorIndex:
         over = Window.partitionBy("group").orderBy("dist", "key")
         return near.withColumn("rank", F.row_number().over(over)).where(F.col("rank") <= k).select("group", "key", "dist", "rank")
 
-    def join(self, queries: DataFrame, k: int, query_key: str = "qid", query_vec: str = "qvec", block: int = 1024) -> DataFrame:
-        """``qid, key, dist, rank``: a search for each query row, in blocks of at most ``block``."""
+    def join(self, queries: DataFrame, k: int, query_key: str = "qid", query_vec: str = "qvec", block: int = 1024, allowed: DataFrame | None = None) -> DataFrame:
+        """``qid, key, dist, rank``: a search for each query row, in blocks of at most ``block``, of keys that are ``allowed``."""
         asked = queries.where(F.col(query_vec).isNotNull()).select(F.col(query_key).cast("long").alias("qid"), F.col(query_vec).cast("array<float>").alias("q"))
         n = -(-asked.count() // block)
         parts = None
         for b in range(n):
             own = (asked if n == 1 else asked.where(F.pmod(F.xxhash64("qid"), F.lit(n)) == b)).collect()
             if own:
-                part = self._search([(r.qid, r.q) for r in own], k, None)
+                part = self._search([(r.qid, r.q) for r in own], k, allowed)
                 parts = part if parts is None else parts.unionByName(part)
         if parts is None:
             parts = self.spark.createDataFrame([], "qid long, key long, dist double")

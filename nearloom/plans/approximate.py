@@ -65,6 +65,37 @@ def hnsw_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(index.join(asked, 3), "qid", "rank")
 
 
+def _asked(spark: SparkSession, sf_dir: str, where: str = "vec_id % 100 = 0") -> DataFrame:
+    return _table(spark, sf_dir, "embeddings").where(where).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
+
+
+def hnsw_join_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``hnsw_join`` of every left row."""
+    index, _ = _indexed(spark, sf_dir)
+    return _rounded(index.join(_asked(spark, sf_dir, "vec_id is not null"), 3), "qid", "rank")
+
+
+def hnsw_search_each(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``hnsw_search`` for every vec_id divisible by 100, as the other ``*_each``."""
+    index, _ = _indexed(spark, sf_dir)
+    return _rounded(index.join(_asked(spark, sf_dir), 10), "qid", "rank")
+
+
+def hnsw_search_cosine_each(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index, _ = _indexed(spark, sf_dir, metric="cosine")
+    return _rounded(index.join(_asked(spark, sf_dir), 10), "qid", "rank")
+
+
+def hnsw_filtered_each(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index, _ = _indexed(spark, sf_dir)
+    return _rounded(index.join(_asked(spark, sf_dir), 10, allowed=_table(spark, sf_dir, "embeddings").where("label = 3").select("vec_id")), "qid", "rank")
+
+
+def hnsw_filtered_metadata_each(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index, _ = _indexed(spark, sf_dir)
+    return _rounded(index.join(_asked(spark, sf_dir), 10, allowed=_table(spark, sf_dir, "documents").where("lang = 'fr'").select("doc_id")), "qid", "rank")
+
+
 def hnsw_rabitq(spark: SparkSession, sf_dir: str) -> DataFrame:
     index, query = _indexed(spark, sf_dir, quantization="rabitq", metric="cosine")
     return _rounded(index.search(query, 10))
@@ -86,4 +117,4 @@ def index_info(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (hnsw_search, hnsw_search_cosine, hnsw_filtered, hnsw_filtered_metadata, hnsw_grouped, hnsw_join, hnsw_rabitq, hnsw_crud, index_info)}
+    return {f.__name__: f for f in (hnsw_search, hnsw_search_cosine, hnsw_filtered, hnsw_filtered_metadata, hnsw_grouped, hnsw_join, hnsw_rabitq, hnsw_crud, index_info, hnsw_join_whole, hnsw_search_each, hnsw_search_cosine_each, hnsw_filtered_each, hnsw_filtered_metadata_each)}

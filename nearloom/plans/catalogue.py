@@ -189,6 +189,10 @@ def _having(spark: SparkSession, sf_dir: str) -> DataFrame:
 _add("grouped_minby_having", _having, f"WITH n AS (SELECT label AS g, vec_id, row_number() OVER (PARTITION BY label ORDER BY list_distance({_E}, {_Q0}), vec_id) AS rn, count(*) OVER (PARTITION BY label) AS c FROM embeddings) SELECT g, string_agg(vec_id::VARCHAR, ',' ORDER BY rn) AS items FROM n WHERE rn <= 3 AND c > 50 GROUP BY g")
 
 
+#: The SQL of the joins asks for a few left rows; ``*_whole`` are the same joins of every left row.
+_EVERY = "vec_id is not null"
+
+
 def _join(k: int, metric: str = "l2sq", where: str | None = None, asked: str = "vec_id < 5") -> Query:
     def f(spark: SparkSession, sf_dir: str) -> DataFrame:
         e = table(spark, sf_dir, "embeddings")
@@ -217,59 +221,75 @@ for _name, _options in {
     "knn_join_all": {"k": 5, "asked": "vec_id >= 0"},
 }.items():
     _add(_name, _join(**_options), _join_sql(**_options))
+    if "asked" not in _options:
+        _add(f"{_name}_whole", _join(**_options, asked=_EVERY), _join_sql(**_options, asked=_EVERY))
 
 
-def _join_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked = _join(4)(spark, sf_dir)
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("rank", "vec_id"))), lambda x: x["vec_id"].cast("string"))
-    return ranked.groupBy("qid").agg(F.array_join(listed, ",").alias("items"))
+def _join_list(asked: str = "vec_id < 5") -> Query:
+    def f(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ranked = _join(4, asked=asked)(spark, sf_dir)
+        listed = F.transform(F.array_sort(F.collect_list(F.struct("rank", "vec_id"))), lambda x: x["vec_id"].cast("string"))
+        return ranked.groupBy("qid").agg(F.array_join(listed, ",").alias("items"))
+
+    return f
 
 
-_add("knn_join_grouped_list", _join_list, f"SELECT qid, string_agg(vec_id::VARCHAR, ',' ORDER BY rank) AS items FROM ({_join_sql(4)}) GROUP BY qid")
+_add("knn_join_grouped_list", _join_list(), f"SELECT qid, string_agg(vec_id::VARCHAR, ',' ORDER BY rank) AS items FROM ({_join_sql(4)}) GROUP BY qid")
+_add("knn_join_grouped_list_whole", _join_list(_EVERY), f"SELECT qid, string_agg(vec_id::VARCHAR, ',' ORDER BY rank) AS items FROM ({_join_sql(4, asked=_EVERY)}) GROUP BY qid")
 
 
-def _lateral(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _lateral(asked: str = "vec_id < 5") -> Query:
     """The same query as correlated SQL, which Catalyst turns into a join and a window."""
-    e = table(spark, sf_dir, "embeddings")
-    e.where("vec_id < 5").createOrReplaceTempView("nearloom_asked")
-    e.createOrReplaceTempView("nearloom_items")
-    return spark.sql(
-        """SELECT q.vec_id AS qid, n.vec_id, round(n.d, 6) AS dist FROM nearloom_asked q, LATERAL (
-             SELECT e.vec_id, sqrt(aggregate(zip_with(e.embedding, q.embedding, (x, y) -> (double(x) - double(y)) * (double(x) - double(y))), 0D, (s, t) -> s + t)) AS d
-             FROM nearloom_items e ORDER BY d, e.vec_id LIMIT 3) n"""
-    )
 
+    def f(spark: SparkSession, sf_dir: str) -> DataFrame:
+        e = table(spark, sf_dir, "embeddings")
+        e.where(asked).createOrReplaceTempView("nearloom_asked")
+        e.createOrReplaceTempView("nearloom_items")
+        return spark.sql(
+            """SELECT q.vec_id AS qid, n.vec_id, round(n.d, 6) AS dist FROM nearloom_asked q, LATERAL (
+                 SELECT e.vec_id, sqrt(aggregate(zip_with(e.embedding, q.embedding, (x, y) -> (double(x) - double(y)) * (double(x) - double(y))), 0D, (s, t) -> s + t)) AS d
+                 FROM nearloom_items e ORDER BY d, e.vec_id LIMIT 3) n"""
+        )
+
+    return f
 
-_add("knn_join_lateral", _lateral, f"SELECT qid, vec_id, dist FROM ({_join_sql(3)})")
 
+_add("knn_join_lateral", _lateral(), f"SELECT qid, vec_id, dist FROM ({_join_sql(3)})")
+_add("knn_join_lateral_whole", _lateral(_EVERY), f"SELECT qid, vec_id, dist FROM ({_join_sql(3, asked=_EVERY)})")
 
-def _macro(metric: str) -> Query:
+
+def _macro(metric: str, asked: str = "vec_id < 20") -> Query:
     def f(spark: SparkSession, sf_dir: str) -> DataFrame:
         e = table(spark, sf_dir, "embeddings")
-        rows = joins.vss_join(e.where("vec_id < 20"), e, "embedding", "embedding", 3, metric)
+        rows = joins.vss_join(e.where(asked), e, "embedding", "embedding", 3, metric)
         return rows.select(F.round("score", 6).alias("score"), F.col("left_tbl.vec_id").alias("left_id"), F.col("right_tbl.vec_id").alias("right_id"), F.col("right_tbl.label").alias("right_label"))
 
     return f
 
 
-def _macro_sql(metric: str) -> str:
+def _macro_sql(metric: str, asked: str = "vec_id < 20") -> str:
     d = f"{_DIST[metric]}(e.{_E}, q.{_E})"
     score = {"l2sq": "d", "cosine": "1 - d", "ip": "-d"}[metric]
-    return f"WITH r AS (SELECT q.vec_id AS left_id, e.vec_id AS right_id, e.label AS right_label, {d} AS d, row_number() OVER (PARTITION BY q.vec_id ORDER BY {d}, e.vec_id) AS rn FROM embeddings q, embeddings e WHERE q.vec_id < 20) SELECT round({score}, 6) AS score, left_id, right_id, right_label FROM r WHERE rn <= 3"
+    return f"WITH r AS (SELECT q.vec_id AS left_id, e.vec_id AS right_id, e.label AS right_label, {d} AS d, row_number() OVER (PARTITION BY q.vec_id ORDER BY {d}, e.vec_id) AS rn FROM embeddings q, embeddings e WHERE q.{asked}) SELECT round({score}, 6) AS score, left_id, right_id, right_label FROM r WHERE rn <= 3"
 
 
 for _name, _metric in (("vss_join_l2", "l2sq"), ("vss_join_cosine", "cosine"), ("vss_join_ip", "ip")):
     _add(_name, _macro(_metric), _macro_sql(_metric))
+    _add(f"{_name}_whole", _macro(_metric, _EVERY), _macro_sql(_metric, _EVERY))
 
 
-def _match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings")
-    rows = joins.vss_match(e.where("vec_id < 20").select("vec_id", "embedding"), e, "embedding", "embedding", 3)
-    ids = F.transform("matches", lambda m: m["row"]["vec_id"].cast("string"))
-    return rows.select("vec_id", F.array_join(ids, ",").alias("items"), F.round(F.element_at("matches", 3)["score"], 6).alias("worst"))
+def _match(asked: str = "vec_id < 20") -> Query:
+    def f(spark: SparkSession, sf_dir: str) -> DataFrame:
+        e = table(spark, sf_dir, "embeddings")
+        rows = joins.vss_match(e.where(asked).select("vec_id", "embedding"), e, "embedding", "embedding", 3)
+        ids = F.transform("matches", lambda m: m["row"]["vec_id"].cast("string"))
+        return rows.select("vec_id", F.array_join(ids, ",").alias("items"), F.round(F.element_at("matches", 3)["score"], 6).alias("worst"))
+
+    return f
 
 
-_add("vss_match_l2", _match, f"SELECT left_id AS vec_id, string_agg(right_id::VARCHAR, ',' ORDER BY score, right_id) AS items, max(score) AS worst FROM ({_macro_sql('l2sq')}) GROUP BY left_id")
+for _name, _asked in (("vss_match_l2", "vec_id < 20"), ("vss_match_l2_whole", _EVERY)):
+    _add(_name, _match(_asked), f"SELECT left_id AS vec_id, string_agg(right_id::VARCHAR, ',' ORDER BY score, right_id) AS items, max(score) AS worst FROM ({_macro_sql('l2sq', _asked)}) GROUP BY left_id")
 
 
 def _centroid(metric: str) -> Query:

@@ -70,3 +70,14 @@ def test_graph_index(spark, sf_dir, rows, asked, tmp_path, metric):
         index.compact()
         now = rows.where("label <> 3").select("vec_id", "embedding").unionByName(moved)
         assert recall(now, asked, lambda q: index.search(q, 10)) >= LEAST
+
+
+def test_whole_joins_ask_every_row(spark, sf_dir, rows):
+    from nearloom.plans import approximate, catalogue
+
+    held = [tuple(r) for r in rows.select("vec_id", "embedding").collect()]
+    want = {(i, j) for i, q in held for j in nearest(held, q, "l2sq", 3)}
+    got = {(r.qid, r.vec_id) for r in catalogue.queries()["knn_join_k3_whole"](spark, sf_dir).collect()}
+    assert got == want and len(want) == 3 * len(held)
+    found = {(r.qid, r.vec_id) for r in approximate.hnsw_join_whole(spark, sf_dir).collect()}
+    assert len(found) == len(want) and len(found & want) >= LEAST * len(want)
