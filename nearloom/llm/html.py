@@ -6,14 +6,16 @@ import re
 from dataclasses import dataclass
 from html import unescape
 
-_RAW = "script|style|template|noscript|textarea|svg|iframe|object|select|title|math"
-_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({_RAW})\b[^>]*?(?:/>|>.*?(?:</\1\s*>|\Z))|<[/!?a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|<[/!?a-zA-Z][^>]*>|[^<]+|<", re.S | re.I)
+#: Code, which never becomes text even if it is not closed; and elements dropped with what they hold if they are closed.
+_CODE, _RAW = "script|style", "template|textarea|iframe|select|title"
+_RAW_NAMES = frozenset(_RAW.split("|"))
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({_CODE})\b[^>]*?(?:/>|>.*?(?:</\1\s*>|\Z))|<({_RAW})\b[^>]*?(?:/>|>.*?</\2\s*>)|<[/!?a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|<[/!?a-zA-Z][^>]*>|[^<]+|<", re.S | re.I)
 _NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data dfn em font i img input ins kbd label mark math meta link q rp rt ruby s samp small span strike strong sub sup time tt u var wbr del picture source video audio track area map embed param base".split())
+_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data dfn em font i img input ins kbd label mark math meta link q rp rt ruby s samp small span strike strong sub sup time tt u var wbr del picture source video audio track area map embed param base svg object mi mn mo ms mtext mrow msup msub msubsup mfrac msqrt mroot mover munder munderover mspace mstyle mtable mtr mtd semantics annotation g path text tspan".split())
 _VOID = frozenset("hr br img input meta link wbr area base col embed param source track".split())
 _CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
-_SIBLING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+_SIBLING = {"body": {"head"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPE = frozenset("ul ol dl table article section div body html nav main aside header footer form".split())
 
 
@@ -65,7 +67,7 @@ def read(source: str) -> tuple[list[Block], dict[tuple[str, ...], int]]:
             if links:
                 linked += len(piece)
             continue
-        if m.group(1) or t[1] in "!?":
+        if m.group(1) or m.group(2) or t[1] in "!?":
             continue
         found = _NAME.match(t)
         if not found:
@@ -78,6 +80,8 @@ def read(source: str) -> tuple[list[Block], dict[tuple[str, ...], int]]:
         if name in _INLINE or name == "br":
             continue
         flush()
+        if name in _RAW_NAMES:  # not closed: only its tag goes
+            continue
         links = 0
         if t[1] == "/":
             if any(n == name for n, _ in path):

@@ -6,7 +6,7 @@ vector form a class.  A class is valid if it has at least ``CLASS`` tokens and s
 ``SUPPORT`` of the host's different pages.  Paths nest valid classes into the host's template;
 what lies between template tokens are slots.  A slot is main text if it is in the innermost
 template element that holds ``HELD`` of the host's running text, is not mostly links, and is in no
-element that its name or its class, id or role calls a menu, header, footer, sidebar, notice,
+element that its name or a whole word of its class, id or role calls a menu, header, footer, sidebar, notice,
 advert, form or comment.  A text that stands on ``TEMPLATE_TEXT`` of many different pages outside
 an article is template, not content.
 
@@ -24,7 +24,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,9 +37,9 @@ from nearloom.llm.urlfilter import host_of
 CLASS, SUPPORT, HELD, TEMPLATE_TEXT, DIFFERENT = 2, 0.5, 0.6, 0.8, 8
 HOSTS = 100_000
 
-_DROP = frozenset("head nav header footer aside form button menu dialog fieldset select figure".split())
-_CALLED = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navigation navbar menu breadcrumb breadcrumbs sidebar widget widgets related share sharing social cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login search comment comments reply replies respond disqus footer header masthead copyright pagination pager toolbar contentinfo complementary".split())
-_MARKS = re.compile(r"[\w]+")
+_DROP = frozenset("head nav header footer aside form button menu dialog fieldset select".split())
+_CALLED = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navigation navbar menu breadcrumb breadcrumbs sidebar widget widgets related share sharing social cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login search comment comments reply replies respond disqus footer header masthead copyright pagination pager toolbar contentinfo complementary site-header site-footer page-header page-footer site-nav main-nav cookie-banner cookie-notice cookie-consent comment-list comments-area related-posts share-buttons social-share ad-container".split())
+_BOX = re.compile(r"(article|main)\b")
 _HEADING = re.compile(r"h[1-6]\b")
 
 
@@ -47,8 +47,23 @@ def _id(*parts: str) -> int:
     return int.from_bytes(hashlib.blake2b("\0".join(parts).encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
 
 
-def unwanted(path: tuple[str, ...]) -> bool:
-    """Whether an element on the path is furniture by its own name or marks."""
+def mostly(chars: Iterable[tuple[tuple[str, ...], int]]) -> frozenset:
+    """The elements that hold more than half of the running text, given as (path, characters)."""
+    held: Counter = Counter()
+    total = 0
+    for path, n in chars:
+        total += n
+        for i in range(1, len(path) + 1):
+            held[path[:i]] += n
+    return frozenset(p for p, n in held.items() if 2 * n > total)
+
+
+def unwanted(path: tuple[str, ...], most: frozenset = frozenset()) -> bool:
+    """Whether an element on the path is furniture by its own name or marks.
+
+    Marks are whole words of class, id or role.  They say nothing of an article, a main element, a
+    heading, or an element in ``most``.
+    """
     in_article = False
     for i, key in enumerate(path):
         name, _, marks = key.partition("[")
@@ -58,7 +73,8 @@ def unwanted(path: tuple[str, ...]) -> bool:
             continue
         if name in _DROP:
             return True
-        if marks and name not in ("html", "body") and any(w in _CALLED for v in marks.rstrip("]").split(",") for w in _MARKS.findall(v.partition("=")[2])):
+        free = name in ("html", "body", "article", "main") or _HEADING.match(name) or path[: i + 1] in most
+        if marks and not free and any(w in _CALLED for v in marks.rstrip("]").split(",") for w in v.partition("=")[2].split()):
             return True
         in_article = in_article or name in ("article", "main")
     return False
@@ -105,8 +121,9 @@ class Template:
     def _main(self) -> tuple[str, ...] | None:
         held: Counter = Counter()
         total = 0
+        most = mostly((p, chars - linked) for p, (chars, linked) in self.paths.items())
         for path, (chars, linked) in self.paths.items():
-            if 2 * linked <= chars and not unwanted(path):
+            if 2 * linked <= chars and not unwanted(path, most):
                 total += chars
                 slot = self.slot(path)
                 for i in range(len(slot) + 1):
@@ -116,8 +133,9 @@ class Template:
 
 
 def main_text(blocks: list[Block], template: Template) -> str:
-    own = [b for b in blocks if not unwanted(b.path)]
-    boxes = [b for b in own if any(re.match(r"(article|main)\b", k) for k in b.path)]
+    most = mostly((b.path, len(b.text) - b.linked) for b in blocks)
+    own = [b for b in blocks if not unwanted(b.path, most)]
+    boxes = [b for b in own if any(_BOX.match(k) for k in b.path)]
     if boxes:  # the page says itself which part is the article
         return "\n\n".join(b.text for b in boxes)
     main = template.main

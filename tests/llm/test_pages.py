@@ -60,3 +60,21 @@ def test_template_of_pages_without_article_marks(spark):
 def test_reader_keeps_raw_text_and_comments_out():
     blocks, opened = read("<p>a<!-- <p>b --><style>p{}</style>c<p class='x y'>d<tr><td>e<td>f</table>")
     assert [b.text for b in blocks] == ["ac", "d", "e", "f"] and opened[("p[class=x y]",)] == 1
+
+
+TEXT = " ".join(f"word{i}" for i in range(30))
+
+
+@pytest.mark.parametrize(
+    "html,want",
+    [
+        ("<article><h1>T</h1><figure><table><tr><td>cell</td></tr></table><figcaption>caption</figcaption></figure></article>", ["T", "cell", "caption"]),
+        ("<article><p>let <math><mi>x</mi></math> be</p><noscript><p>plain</p></noscript><p><svg><text>axis</text></svg></p><object>fallback</object></article>", ["let x be", "plain", "axis", "fallback"]),
+        ("<article class='post has-sidebar'><section id='related-work'><h2 id='search'>Search</h2><p>a</p></section><div class='article-header'><h1>T</h1></div></article>", ["Search", "a", "T"]),
+        ("<article class='comment'><p>a</p></article>", ["a"]),
+        (f"<div class='widget'><p>{TEXT}</p></div><div class='promo'><p>b</p></div><div class='site-footer'>f</div>", [TEXT]),
+        ("<head><title>t<body><article><p>a</p><select><option>o<p>b</p></article>", ["a", "o", "b"]),
+    ],
+)
+def test_content_is_not_furniture(html, want):
+    assert template.main_text(read(html)[0], template.Template([], 0)).split("\n\n") == want
