@@ -3,11 +3,14 @@
 A token is an element with the path of elements around it, or the whole text of a block there.
 Its occurrence vector says how often it stands on each page of the host; tokens that share a
 vector form a class.  A class is valid if it has at least ``CLASS`` tokens and stands on at least
-``SUPPORT`` of the host's different pages.  Paths nest valid classes into the host's template;
-what lies between template tokens are slots.  A slot is main text if it is in the innermost
+``SUPPORT`` of the host's different pages.  Frequent paths nest into the
+host's template, whether their class is valid or not, as repeated elements have vectors of their
+own; class validity decides only which repeated texts are template.  What lies between template tokens are slots.  A slot is main text if it is in the innermost
 template element that holds ``HELD`` of the host's running text, is not mostly links, and is in no
 element that its name or a whole word of its class, id or role calls a menu, header, footer, sidebar, notice,
-advert, form or comment.  A text that stands on ``TEMPLATE_TEXT`` of many different pages outside
+advert, form or comment.  Article and main elements are the main text where the template's main
+element is in one, where there is no template, or where they hold half of the page's running text;
+elsewhere (teasers are marked so too) the slot decides.  A text that stands on ``TEMPLATE_TEXT`` of many different pages outside
 an article is template, not content.
 
 The vectors are never gathered: a token's vector is the sum, over pages, of a hash of page and
@@ -136,9 +139,11 @@ def main_text(blocks: list[Block], template: Template) -> str:
     most = mostly((b.path, len(b.text) - b.linked) for b in blocks)
     own = [b for b in blocks if not unwanted(b.path, most)]
     boxes = [b for b in own if any(_BOX.match(k) for k in b.path)]
-    if boxes:  # the page says itself which part is the article
-        return "\n\n".join(b.text for b in boxes)
     main = template.main
+    running = lambda of: sum(len(b.text) - b.linked for b in of)
+    # a mark is believed where the template agrees or is missing, or where most of the page's text is marked: teasers are marked too
+    if boxes and (main is None or any(_BOX.match(k) for k in main) or 2 * running(boxes) >= running(own)):
+        return "\n\n".join(b.text for b in boxes)
     inside = [b for b in own if main is not None and template.slot(b.path)[: len(main)] == main]
     return "\n\n".join(b.text for b in inside or own if 2 * b.linked <= len(b.text) and _id("text", *b.path, b.text) not in template.texts)
 

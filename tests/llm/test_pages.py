@@ -78,3 +78,14 @@ TEXT = " ".join(f"word{i}" for i in range(30))
 )
 def test_content_is_not_furniture(html, want):
     assert template.main_text(read(html)[0], template.Template([], 0)).split("\n\n") == want
+
+
+def test_teasers_marked_as_articles_are_not_the_page(spark):
+    rows = []
+    for i in range(12):
+        text = "".join(f"<p>{' '.join(f'word{i}{j}{k}' for k in range(20))}</p>" for j in range(3))
+        teasers = "".join(f"<article><h2>Teaser {i}{j}</h2></article>" for j in range(3))
+        rows.append((i, "http://t.org/p", f"<html><body><div class=text>{text}</div><div class=more>{teasers}</div></body></html>"))
+    got = {r.page_id: r.text for r in template.extract(spark.createDataFrame(rows, PAGE)).collect()}
+    for i in range(12):
+        assert got[i] == "\n\n".join(" ".join(f"word{i}{j}{k}" for k in range(20)) for j in range(3))
