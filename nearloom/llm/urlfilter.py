@@ -7,7 +7,8 @@ domain above it are taken to link to each other.  A host is blocked where its di
 both its trust and ``threshold`` times an even share.
 
 Links are counted per pair of hosts before anything is joined; ranks, edges and hosts stay in
-tables, and each step is one join and one aggregate on hosts.  Only a sum reaches the driver.
+tables, and each step is one join and one aggregate on hosts.  Steps are taken until four of them
+together change ranks by less than ``SETTLED``.  Only a sum reaches the driver.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, takes no rule and
 is allowed; null or empty html has no links; repeated rows get equal verdicts, and their links
@@ -25,7 +26,7 @@ from nearloom.llm.common import BROADCAST_IDS, checkpointed
 
 #: (host, path, verdict): fits the host and its subdomains where the url's path starts so.
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
-DAMPING, STEPS, CUT_EVERY, SETTLED, THRESHOLD = 0.85, 16, 4, 1e-6, 0.5
+DAMPING, STEPS, CUT_EVERY, SETTLED, THRESHOLD = 0.85, 120, 4, 1e-6, 0.5  # 0.85 ** 94 < SETTLED / 4: it settles before STEPS
 #: Rules that are written into the plan; more of them are joined.
 INLINE_RULES = 200
 
@@ -91,7 +92,7 @@ def propagate(edges: DataFrame, seeds: DataFrame) -> DataFrame:
             if (change or 0) < SETTLED:
                 return _both(after)
         rank = after
-    return _both(rank)
+    raise RuntimeError("trust and distrust have not settled")
 
 
 def _both(rank: DataFrame) -> DataFrame:

@@ -29,6 +29,12 @@ def test_distrust_flows_against_links(spark):
     assert got[5].verdict == "allow" and got[5].trust > 0 and got[6].verdict == "allow"
 
 
+def test_ranks_settle_beyond_sixteen_links(spark):
+    edges = spark.createDataFrame([(f"h{i}", f"h{i + 1}", 1.0) for i in range(20)], "src string, dst string, n double")
+    got = {r.host: r.trust for r in urlfilter.propagate(edges, spark.createDataFrame([("h0", "trust")], "host string, kind string")).collect()}
+    assert all(abs(got[f"h{i}"] - 0.15 * 0.85**i) < 1e-6 for i in range(21)) and got["h20"] > 0
+
+
 ARTICLE = "<article><h1>Title {i}</h1><p><b>First &amp; {i}\n words<br>here<p>Second&nbsp;block {i}</p><ul><li>a</li><li>b {i}</li></ul></article>"
 WANT = "Title {i}\n\nFirst & {i} words here\n\nSecond block {i}\n\na\n\nb {i}"
 
