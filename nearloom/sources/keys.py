@@ -6,6 +6,7 @@ checkpoint folder.
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,10 +14,12 @@ from pyspark.sql import functions as F
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one is made only where that is unset."""
+    """The folder in ``spark.checkpoint.dir``; a temporary one is made only on one machine that has none set."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         where = spark.conf.get("spark.checkpoint.dir", None)
+        if where is None and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(where or tempfile.mkdtemp(prefix="nearloom-checkpoint-"))
     return context.getCheckpointDir()
 
