@@ -1,8 +1,8 @@
 """Distances and similarities between embedding columns, in double precision.
 
 With a known dimension they are written out term by term, which stays in generated code; beyond
-``UNROLL`` dimensions, or without one, higher-order functions are used.  A null vector gives null.
-A zero vector has no direction: cosine gives NaN.
+``UNROLL`` dimensions, or without one, higher-order functions are used.  A null vector gives null,
+vectors of different lengths an error.  A zero vector has no direction: cosine gives NaN.
 """
 
 from __future__ import annotations
@@ -36,8 +36,11 @@ def _folded(a: Column, b: Column, term: Callable[[Column, Column], Column], dims
         total = terms[0] if terms else F.lit(0.0)
         for t in terms[1:]:
             total = total + t
-        return total
-    return F.aggregate(F.zip_with(a, b, lambda x, y: term(x.cast("double"), y.cast("double"))), F.lit(0.0), lambda s, t: s + t)
+    else:
+        total = F.aggregate(F.zip_with(a, b, lambda x, y: term(x.cast("double"), y.cast("double"))), F.lit(0.0), lambda s, t: s + t)
+    differ = (F.size(a) != F.size(b)) if dims is None else (F.size(a) != dims) | (F.size(b) != dims)
+    says = F.raise_error(F.lit("vectors must be of one length" if dims is None else f"vectors must have {dims} dimensions")).cast("double")
+    return F.when(a.isNull() | b.isNull(), F.lit(None).cast("double")).when(differ, says).otherwise(total)
 
 
 def inner_product(a: Column, b: Column, dims: int | None = None) -> Column:

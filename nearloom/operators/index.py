@@ -1,10 +1,15 @@
 """Vector indexes: sharded proximity graphs in Parquet, with inserts, deletes and compaction.
 
-An index is a folder: ``manifest`` (one row), ``nodes`` (a row for each vector: shard, slot, key,
-vector, links by level, code) and ``deleted``.  A shard is built and searched by one task; its size
-is bounded by ``SHARD_ROWS``, so the number of shards grows with the table.  Inserts append shards,
-deletes append keys, compaction rebuilds from the rows that live.  Every shard returns its own k,
-so more shards never lower the recall of a merge.
+An index is a folder.  ``segments`` holds the nodes (slot, key, vector, links by level, code), one
+file and one row group for each shard, so a search reads shards where they lie and shuffles
+nothing.  ``deleted`` holds tombstones.  ``manifests`` holds numbered generations, each naming the
+segments and tombstones that make up the index; the latest complete one counts.  Whatever changes
+an index writes new files first, its manifest last, and only then deletes what no manifest needs,
+so a crash at any point leaves the old index or the new one.  One writer at a time.
+
+A shard is built and searched by one task; its size is bounded by ``SHARD_ROWS``, so the number of
+shards grows with the table.  Every shard returns its own k, so more shards never lower the recall
+of a merge.
 
 Keys are longs and unique among live rows.  Null vectors are not indexed.
 """
@@ -20,15 +25,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from nearloom.functions import distances
 from nearloom.functions.settings import IndexOptions, index_options, setting
 from nearloom.operators import rabitq
 from nearloom.operators.graph import Graph
 from nearloom.operators.knn import knn
-from nearloom.operators.knn_join import exact_distances, vectors_of
+from nearloom.operators.knn_join import FOUND, Nearest, asked_of, exact_distances, in_blocks, offered, ranked, vectors_of
 
 SHARD_ROWS = 20_000
+#: Keys that may be broadcast: some 64 MB as a hashed relation.  Always counted first.
+BROADCAST_KEYS = 1_000_000
 
 _NODES = "shard long, slot int, key long, vec array<float>, links array<array<int>>, bits array<long>, norm float, vdot float"
 _SCHEMA = pa.schema([("shard", pa.int64()), ("slot", pa.int32()), ("key", pa.int64()), ("vec", pa.list_(pa.float32())), ("links", pa.list_(pa.list_(pa.int32()))), ("bits", pa.list_(pa.int64())), ("norm", pa.float32()), ("vdot", pa.float32())])
@@ -39,9 +47,13 @@ def _filesystem(spark: SparkSession, path: str):
     return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    fs, where = _filesystem(spark, path)
-    return fs.exists(where)
+def _generations(spark: SparkSession, path: str) -> list[int]:
+    """The numbers of the manifests that were written to the end."""
+    fs, where = _filesystem(spark, f"{path.rstrip('/')}/manifests")
+    if not fs.exists(where):
+        return []
+    of = spark._jvm.org.apache.hadoop.fs.Path
+    return [int(f.getPath().getName()) for f in fs.listStatus(where) if fs.exists(of(f.getPath(), "_SUCCESS"))]
 
 
 def _sharded(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
@@ -65,7 +77,7 @@ def _built(options: dict, dims: int, center: list[float] | None):
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, t in _sharded(batches):
             order = np.argsort(t.column("key").to_numpy(), kind="stable")
-            keys, x = t.column("key").to_numpy()[order], vectors_of(t.column("vec").combine_chunks())[order]
+            keys, x = t.column("key").to_numpy()[order], vectors_of(t.column("vec").combine_chunks(), dims)[order]
             g = Graph(dims, options["metric"], options["M"], options["M0"], options["ef_construction"], seed=shard & 0x7FFFFFFF).build(x)
             n = len(keys)
             bits, norm, vdot = [None] * n, [None] * n, [None] * n
@@ -122,7 +134,7 @@ class VectorIndex:
     def create(cls, df: DataFrame, path: str, name: str, key: str = "vec_id", vec: str | Column = "embedding", table: str = "", if_not_exists: bool = False, shard_rows: int = SHARD_ROWS, **options: Any) -> VectorIndex:
         """Build from the rows of ``df`` whose vector, a column or an expression, is not null."""
         spark, checked = df.sparkSession, index_options(**options)
-        if exists(spark, f"{path}/manifest"):
+        if _generations(spark, path):
             if if_not_exists:
                 return cls.load(spark, path)
             raise ValueError(f'Index with name "{name}" already exists')
@@ -131,68 +143,106 @@ class VectorIndex:
         seen = rows.agg(F.count(F.lit(1)).alias("n"), F.min(F.size("vec")).alias("least"), F.max(F.size("vec")).alias("most"), F.max(F.exists("vec", lambda v: v.isNull())).alias("holes")).first()
         if seen.least != seen.most or seen.holes:
             raise ValueError("HNSW index keys must be vectors of one length without nulls")
-        about = {"name": name, "table": table, "key": key, "vec": vec if isinstance(vec, str) else "expression", "dims": seen.most or 0, "options": checked.as_dict(), "shard_rows": shard_rows, "center": None}
+        about = {"name": name, "table": table, "key": key, "vec": vec if isinstance(vec, str) else "expression", "dims": seen.most or 0, "options": checked.as_dict(), "shard_rows": shard_rows, "center": None, "segments": [], "deleted": [], "next_shard": 0}
         if checked.quantization == "rabitq":
             about["center"] = rabitq.centroid(rows, about["dims"], checked.metric, "vec").first().centroid
         index = cls(spark, path, about)
-        index._append(rows, seen.n)
-        index._save()
+        index._commit(segments=index._segment(rows, seen.n))
         return index
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> VectorIndex:
-        if not exists(spark, f"{path}/manifest"):
+        made = _generations(spark, path)
+        if not made:
             raise ValueError(f"Index {path} not found")
-        return cls(spark, path, json.loads(spark.read.text(f"{path}/manifest").orderBy("value").first().value))
-
-    def _save(self) -> None:
-        self.spark.createDataFrame([(json.dumps(self.about),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/manifest")
+        return cls(spark, path, json.loads(spark.read.text(f"{path}/manifests/{max(made)}").first().value))
 
-    def _append(self, rows: DataFrame, n: int) -> None:
-        shards = max(1, -(-n // self.about["shard_rows"]))
-        first = int(uuid.uuid4().int % (1 << 40)) << 20 if exists(self.spark, f"{self.path}/nodes") else 0
+    @classmethod
+    def find(cls, spark: SparkSession, folder: str, table: str, vec: str, metric: str = "l2sq") -> VectorIndex | None:
+        """Of the indexes in ``folder``, by name the first one on this table and column with this metric."""
+        fs, where = _filesystem(spark, folder)
+        names = sorted(f.getPath().getName() for f in fs.listStatus(where) if f.isDirectory()) if fs.exists(where) else []
+        for path in (f"{folder.rstrip('/')}/{n}" for n in names):
+            if _generations(spark, path):
+                index = cls.load(spark, path)
+                if (index.about["table"], index.about["vec"], index.options.metric) == (table, vec, distances.metric_name(metric)):
+                    return index
+        return None
+
+    def _commit(self, **changed: list[str]) -> None:
+        """Make the changed lists current, then delete what only older generations name."""
+        old, self.about = self.about, self.about | changed
+        fs, where = _filesystem(self.spark, f"{self.path}/manifests")
+        taken = [int(f.getPath().getName()) for f in fs.listStatus(where)] if fs.exists(where) else []
+        now = max(taken, default=0) + 1
+        self.spark.createDataFrame([(json.dumps(self.about),)], "value string").coalesce(1).write.text(f"{self.path}/manifests/{now}")
+        gone = [f"{k}/{x}" for k in ("segments", "deleted") for x in old[k] if x not in self.about[k]] + [f"manifests/{n}" for n in taken]
+        for name in gone:
+            fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}"), True)
+
+    def _segment(self, rows: DataFrame, n: int) -> list[str]:
+        """The segments with a new one of these rows, written but not yet current."""
+        if not n:
+            return self.about["segments"]
+        shards, first, name = -(-n // self.about["shard_rows"]), self.about["next_shard"], f"segment={uuid.uuid4().hex}"
         dealt = rows.select((F.pmod(F.xxhash64("key"), F.lit(shards)) + F.lit(first)).cast("long").alias("shard"), "key", "vec")
         built = dealt.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(_built(self.options.as_dict(), self.dims, self.about["center"]), _NODES)
-        built.write.mode("append").parquet(f"{self.path}/nodes")
+        built.write.option("parquet.block.size", 1 << 30).partitionBy("shard").parquet(f"{self.path}/segments/{name}")
+        self.about = self.about | {"next_shard": first + shards}
+        return [*self.about["segments"], name]
+
+    def _tombstones(self, keys: DataFrame) -> list[str]:
+        name = uuid.uuid4().hex
+        gone = keys.select(F.col(keys.columns[0]).cast("long").alias("key")).distinct()
+        self.nodes().where("live").select("shard", "key").join(gone, "key", "left_semi").select("shard", "key").write.parquet(f"{self.path}/deleted/{name}")
+        return [*self.about["deleted"], name]
+
+    def _stored(self) -> DataFrame:
+        if not self.about["segments"]:
+            return self.spark.createDataFrame([], _NODES)
+        paths = [f"{self.path}/segments/{x}" for x in self.about["segments"]]
+        return self.spark.read.schema(f"{_NODES}, segment string").option("basePath", f"{self.path}/segments").parquet(*paths).drop("segment")
 
     def _deleted(self) -> DataFrame | None:
-        return self.spark.read.parquet(f"{self.path}/deleted") if exists(self.spark, f"{self.path}/deleted") else None
+        paths = [f"{self.path}/deleted/{x}" for x in self.about["deleted"]]
+        return self.spark.read.schema("shard long, key long").parquet(*paths).distinct() if paths else None
 
     def nodes(self) -> DataFrame:
         """All nodes, with ``live``: whether neither they nor their shard were deleted later."""
-        rows = self.spark.read.schema(_NODES).parquet(f"{self.path}/nodes")
+        return self._marked(self._stored())[0]
+
+    def _marked(self, rows: DataFrame) -> tuple[DataFrame, bool]:
+        """``rows`` (shard, key, ...) with ``live``; and whether they lie as they are stored."""
         gone = self._deleted()
         if gone is None:
-            return rows.withColumn("live", F.lit(True))
-        return rows.join(gone.distinct().withColumn("gone", F.lit(True)), ["shard", "key"], "left").withColumn("live", F.col("gone").isNull()).drop("gone")
+            return rows.withColumn("live", F.lit(True)), True
+        few = gone.count() <= BROADCAST_KEYS
+        gone = gone.withColumn("gone", F.lit(True))
+        return rows.join(F.broadcast(gone) if few else gone, ["shard", "key"], "left").withColumn("live", F.col("gone").isNull()).drop("gone"), few
+
+    def _rows_of(self, df: DataFrame) -> DataFrame:
+        vec = self.about["vec"] if self.about["vec"] in df.columns else "vec"
+        return df.select(F.col(self.about["key"]).cast("long").alias("key"), F.col(vec).cast("array<float>").alias("vec")).where("vec is not null")
 
     def insert(self, df: DataFrame) -> None:
         """Append rows (columns as at creation) as shards of their own."""
-        vec = self.about["vec"] if self.about["vec"] in df.columns else "vec"
-        rows = df.select(F.col(self.about["key"]).cast("long").alias("key"), F.col(vec).cast("array<float>").alias("vec")).where("vec is not null")
-        self._append(rows, rows.count())
+        rows = self._rows_of(df)
+        self._commit(segments=self._segment(rows, rows.count()))
 
     def delete(self, keys: DataFrame) -> None:
         """Mark the keys (the first column) as deleted, in the shards that exist now."""
-        gone = keys.select(F.col(keys.columns[0]).cast("long").alias("key")).distinct()
-        self.nodes().where("live").select("shard", "key").join(gone, "key", "left_semi").select("shard", "key").write.mode("append").parquet(f"{self.path}/deleted")
+        self._commit(deleted=self._tombstones(keys))
 
     def update(self, df: DataFrame) -> None:
-        self.delete(df.select(self.about["key"]))
-        self.insert(df)
+        """Replace rows by key, in one generation."""
+        rows = self._rows_of(df)
+        gone = self._tombstones(df.select(self.about["key"]))
+        self._commit(segments=self._segment(rows, rows.count()), deleted=gone)
 
     def compact(self) -> None:
         """Rebuild from the live rows: deleted ones go, small shards are merged."""
         rows = self.nodes().where("live").select("key", "vec")
-        fresh = VectorIndex(self.spark, f"{self.path}/compacting", self.about)
-        fresh._append(rows, rows.count())
-        fs, _ = _filesystem(self.spark, self.path)
-        path = self.spark._jvm.org.apache.hadoop.fs.Path
-        for part in ("nodes", "deleted"):
-            fs.delete(path(f"{self.path}/{part}"), True)
-        fs.rename(path(f"{self.path}/compacting/nodes"), path(f"{self.path}/nodes"))
-        fs.delete(path(f"{self.path}/compacting"), True)
-        self.spark.catalog.clearCache()
+        self._commit(segments=self._segment(rows, rows.count())[len(self.about["segments"]) :], deleted=[])
 
     def drop(self) -> None:
         fs, where = _filesystem(self.spark, self.path)
@@ -218,20 +268,31 @@ class VectorIndex:
             return "exact", ef
         return "masked", ef
 
+    def _planned(self, k: int, allowed: DataFrame | None) -> tuple[DataFrame, str, int]:
+        """Shard by shard the nodes with ``allowed``, the strategy and the beam width.
+
+        Rows stay as they are stored where tombstones and allowed keys are few enough to broadcast.
+        """
+        rows, in_place = self._marked(self._stored().select("shard", "slot", "key", "vec", "links"))
+        counted, _ = self._marked(self._stored().select("shard", "key"))
+        if allowed is None:
+            rows, match = rows.withColumnRenamed("live", "allowed"), F.col("live")
+        else:
+            keys = allowed.select(F.col(allowed.columns[0]).cast("long").alias("key")).distinct().withColumn("match", F.lit(True))
+            few = keys.count() <= BROADCAST_KEYS
+            keys, in_place = F.broadcast(keys) if few else keys, in_place and few
+            rows = rows.join(keys, "key", "left").withColumn("allowed", F.col("live") & F.col("match").isNotNull()).drop("match", "live")
+            counted, match = counted.join(keys, "key", "left"), F.col("live") & F.col("match").isNotNull()
+        size = counted.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(match.cast("long")), F.lit(0)).alias("m")).first()
+        strategy, ef = self.plan(k, None if size.n == size.m else size.m, size.n)
+        rows = rows.select("shard", "slot", "key", "vec", "links", "allowed")
+        return rows if in_place else rows.repartition(max(1, self.about["next_shard"]), "shard").sortWithinPartitions("shard", "slot"), strategy, ef
+
     def _search(self, asked: list[tuple[int, Sequence[float]]], k: int, allowed: DataFrame | None) -> DataFrame:
         """``qid, key, dist``: each shard's best ``k`` of each query."""
-        nodes = self.nodes()
-        if allowed is not None:
-            keys = allowed.select(F.col(allowed.columns[0]).cast("long").alias("key")).distinct().withColumn("match", F.lit(True))
-            nodes = nodes.join(keys, "key", "left").withColumn("allowed", F.col("live") & F.col("match").isNotNull()).drop("match")
-        else:
-            nodes = nodes.withColumn("allowed", F.col("live"))
-        size = nodes.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("allowed").cast("long")).alias("m")).first()
-        strategy, ef = self.plan(k, None if size.n == (size.m or 0) else size.m or 0, size.n)
+        rows, strategy, ef = self._planned(k, allowed)
         shared = self.spark.sparkContext.broadcast(([i for i, _ in asked], np.array([q for _, q in asked], np.float32).reshape(len(asked), -1)))
-        shards = nodes.select("shard").distinct().count()
-        dealt = nodes.select("shard", "slot", "key", "vec", "links", "allowed").repartition(max(1, shards), "shard").sortWithinPartitions("shard", "slot")
-        return dealt.mapInArrow(_searched(self.options.as_dict(), self.dims, k, ef, strategy, shared, True), "qid long, key long, dist double")
+        return rows.mapInArrow(_searched(self.options.as_dict(), self.dims, k, ef, strategy, shared, True), FOUND)
 
     def search(self, query: Sequence[float], k: int, allowed: DataFrame | None = None) -> DataFrame:
         """``key, dist``: about the ``k`` nearest live rows, of those whose keys are ``allowed``.
@@ -262,20 +323,53 @@ class VectorIndex:
         over = Window.partitionBy("group").orderBy("dist", "key")
         return near.withColumn("rank", F.row_number().over(over)).where(F.col("rank") <= k).select("group", "key", "dist", "rank")
 
-    def join(self, queries: DataFrame, k: int, query_key: str = "qid", query_vec: str = "qvec", block: int = 1024, allowed: DataFrame | None = None) -> DataFrame:
-        """``qid, key, dist, rank``: a search for each query row, in blocks of at most ``block``, of keys that are ``allowed``."""
-        asked = queries.where(F.col(query_vec).isNotNull()).select(F.col(query_key).cast("long").alias("qid"), F.col(query_vec).cast("array<float>").alias("q"))
-        n = -(-asked.count() // block)
-        parts = None
-        for b in range(n):
-            own = (asked if n == 1 else asked.where(F.pmod(F.xxhash64("qid"), F.lit(n)) == b)).collect()
-            if own:
-                part = self._search([(r.qid, r.q) for r in own], k, allowed)
-                parts = part if parts is None else parts.unionByName(part)
-        if parts is None:
-            parts = self.spark.createDataFrame([], "qid long, key long, dist double")
-        over = Window.partitionBy("qid").orderBy("dist", "key")
-        return parts.withColumn("rank", F.row_number().over(over)).where(F.col("rank") <= k)
+    def join_grouped(self, queries: DataFrame, k: int, groups: DataFrame, query_key: str = "qid", query_vec: str = "qvec", block: int | None = None) -> DataFrame:
+        """``qid, group, key, dist, rank``: ``search_grouped`` for each query row, by one scan for each block.
+
+        Every task keeps its best ``k`` of each query and group; ``groups``: key, group.
+        """
+        keyed = groups.select(F.col(groups.columns[0]).cast("long").alias("key"), F.col(groups.columns[1]).alias("group"))
+        rows = self.nodes().where("live").select("key", "vec").join(keyed, "key").select("key", "vec", "group")
+        kind, metric = rows.schema["group"].dataType, self.options.metric
+        schema = T.StructType([T.StructField("qid", T.LongType()), T.StructField("group", kind), T.StructField("key", T.LongType()), T.StructField("dist", T.DoubleType())])
+
+        def search(shared):
+            def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                ids, q = shared.value
+                for batch in batches:
+                    groups = batch.column(2).dictionary_encode(null_encoding="encode")
+                    own, code = groups.dictionary, groups.indices.to_numpy()
+                    keys, x = batch.column(0).to_numpy(), vectors_of(batch.column(1), q.shape[1])
+                    for g in range(len(own)):
+                        rows = np.flatnonzero(code == g)
+                        best = Nearest(len(ids), k)
+                        for a in range(0, len(rows), 4096):
+                            for b in range(0, len(ids), 512):
+                                at = slice(b, min(b + 512, len(ids)))
+                                offered(metric, q[at], x[rows[a : a + 4096]], keys[rows[a : a + 4096]], best, at)
+                        found = best.rows(ids)
+                        yield pa.RecordBatch.from_arrays([found.column(0), own.take(pa.array([g] * found.num_rows, pa.int64())), found.column(1), found.column(2)], names=["qid", "group", "key", "dist"])
+
+            return rows.mapInArrow(f, schema)
+
+        found = in_blocks(asked_of(queries, query_key, query_vec), search, block)
+        over = Window.partitionBy("qid", "group").orderBy(F.when(F.isnan("dist"), F.lit(float("inf"))).otherwise(F.col("dist")), "key")
+        return found.withColumn("rank", F.row_number().over(over)).where(F.col("rank") <= k)
+
+    def join(self, queries: DataFrame, k: int, query_key: str = "qid", query_vec: str = "qvec", block: int | None = None, allowed: DataFrame | None = None) -> DataFrame:
+        """``qid, key, dist, rank``: a search for each query row, of keys that are ``allowed``."""
+        asked = asked_of(queries, query_key, query_vec)
+        if self.options.quantization == "rabitq":
+            return ranked(in_blocks(asked, self._coded_search(k, allowed), block), k)
+        rows, strategy, ef = self._planned(k, allowed)
+        search = lambda shared: rows.mapInArrow(_searched(self.options.as_dict(), self.dims, k, ef, strategy, shared, True), FOUND)
+        return ranked(in_blocks(asked, search, block), k)
+
+    def _coded_search(self, k: int, allowed: DataFrame | None):
+        rows = self.nodes().where("live").select("key", "vec", F.struct("bits", "norm", "vdot").alias("code"))
+        if allowed is not None:
+            rows = rows.join(allowed.select(F.col(allowed.columns[0]).cast("long").alias("key")).distinct(), "key", "left_semi")
+        return lambda shared: rabitq.near_codes(rows, shared, k, self.about["center"], self.options.metric, setting(self.spark, "hnsw_rabitq_oversample"))
 
     def rescan(self, df: DataFrame, query: Sequence[float], k: int, **options: Any) -> DataFrame:
         """The exact answer from the table itself."""

@@ -12,11 +12,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nearloom.functions import distances
 from nearloom.operators.knn import knn
+from nearloom.operators.knn_join import FOUND, Nearest, asked_of, exact_distances, in_blocks, ranked, vectors_of
 
 CODE = "bits array<bigint>, norm float, vdot float"
 
@@ -29,13 +33,16 @@ def bytes_per_vector(dims: int, quantization: str = "rabitq") -> int:
 def centroid(df: DataFrame, dims: int, metric: str = "l2sq", vec: str = "embedding") -> DataFrame:
     """One row, ``centroid array<double>``: the mean of the vectors (of their directions, for cosine).
 
-    A partial aggregate of one sum for each dimension; without vectors, zeros.
+    One partial aggregate of the whole vector; without vectors, zeros.
     """
-    norm = F.sqrt(distances.inner_product(F.col(vec), F.col(vec), dims))
-    scale = F.when(norm == 0, F.lit(0.0)).otherwise(F.lit(1.0) / norm) if distances.metric_name(metric) == "cosine" else F.lit(1.0)
-    rows = df.where(F.col(vec).isNotNull()).withColumn("__s", scale)
-    sums = [F.avg(F.get(F.col(vec), F.lit(i)).cast("double") * F.col("__s")).alias(f"c{i}") for i in range(dims)]
-    return rows.agg(*sums).select(F.array(*[F.coalesce(F.col(f"c{i}"), F.lit(0.0)) for i in range(dims)]).alias("centroid"))
+    x = F.transform(vec, lambda v: v.cast("double"))
+    if distances.metric_name(metric) == "cosine":
+        norm = F.sqrt(distances.inner_product(F.col(vec), F.col(vec)))
+        x = F.when(norm == 0, F.array_repeat(F.lit(0.0), dims)).otherwise(F.transform(vec, lambda v: v.cast("double") / norm))
+    zeros = df.sparkSession.range(1).select(F.array_repeat(F.lit(0.0), dims).alias("__x"))  # the summary of nothing is an error
+    rows = df.where(F.col(vec).isNotNull()).select(x.alias("__x")).unionByName(zeros)
+    total, n = vector_to_array(Summarizer.sum(array_to_vector("__x"))), F.count(F.lit(1)) - 1
+    return rows.agg(total.alias("s"), n.alias("n")).select(F.transform("s", lambda v: v / F.greatest(F.col("n"), F.lit(1))).alias("centroid"))
 
 
 def encode(x: np.ndarray, center: np.ndarray, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -66,16 +73,12 @@ def with_code(df: DataFrame, center: Sequence[float], metric: str = "l2sq", vec:
     rows = df.withColumn("__s", scale).withColumn("__rest", rest)
     norm = F.sqrt(F.aggregate("__rest", F.lit(0.0), lambda s, x: s + x * x))
     total = F.aggregate("__rest", F.lit(0.0), lambda s, x: s + F.abs(x))
-    words = []
-    for w in range(-(-dims // 64)):
-        part = F.lit(0).cast("bigint")
-        for i in range(64 * w, min(dims, 64 * w + 64)):
-            bit = 1 << (i - 64 * w)
-            part = part.bitwiseOR(F.when(F.get("__rest", F.lit(i)) >= 0, F.lit(bit - (1 << 64) if bit >= 1 << 63 else bit).cast("bigint")).otherwise(F.lit(0).cast("bigint")))
-        words.append(part)
+    one = F.lit(1).cast("bigint")
+    word = lambda w: F.aggregate(F.transform(F.slice("__rest", 64 * w + 1, F.lit(64)), lambda v, i: F.when(v >= 0, F.call_function("shiftleft", one, i)).otherwise(F.lit(0).cast("bigint"))), F.lit(0).cast("bigint"), lambda s, b: s.bitwiseOR(b))
+    words = F.transform(F.sequence(F.lit(0), F.lit(max(0, -(-dims // 64) - 1))), word)
     rows = rows.withColumn("__norm", norm)
     vdot = F.when(F.col("__norm") > 0, total / F.col("__norm") / F.lit(float(np.sqrt(dims)))).otherwise(F.lit(0.0))
-    code = F.struct(F.array(*words).alias("bits"), F.col("__norm").cast("float").alias("norm"), vdot.cast("float").alias("vdot"))
+    code = F.struct(words.alias("bits"), F.col("__norm").cast("float").alias("norm"), vdot.cast("float").alias("vdot"))
     return rows.withColumn(name, F.when(F.col(vec).isNotNull(), code)).drop("__s", "__rest", "__norm")
 
 
@@ -134,3 +137,77 @@ def search(df: DataFrame, query: Sequence[float], k: int, center: Sequence[float
     limit = first.agg(F.count(F.when(~F.isnan("dist"), 1)).alias("__n"), F.max("dist").alias("__limit"))  # one row
     within = (F.col("__n") < k) | (least_distance(F.col("code"), query, center, metric) <= F.col("__limit"))
     return knn(coded.crossJoin(F.broadcast(limit)).where(within).drop("__n", "__limit", "code"), query, k, metric, key, vec)
+
+
+def signs(words: np.ndarray, dims: int) -> np.ndarray:
+    """Bits of words [n, ceil(D / 64)] as 1 and -1."""
+    return np.unpackbits(np.ascontiguousarray(words).astype("<i8").view(np.uint8).reshape(len(words), -1), axis=1, count=dims, bitorder="little").astype(np.float64) * 2 - 1
+
+
+def _prepared(q: np.ndarray, center: np.ndarray, metric: str) -> np.ndarray:
+    q = q.astype(np.float64)
+    if metric == "cosine":
+        length = np.sqrt((q * q).sum(1, keepdims=True))
+        q = np.divide(q, length, out=q.copy(), where=length > 0)
+    return q if metric == "ip" else q - center
+
+
+def least_distances(sign: np.ndarray, norm: np.ndarray, vdot: np.ndarray, q: np.ndarray, center: np.ndarray, metric: str) -> np.ndarray:
+    """``least_distance`` for all pairs [queries, rows]."""
+    given, q = q.astype(np.float64), _prepared(q, center, metric)
+    size = (q * q).sum(1)[:, None]
+    along = q @ sign.T / np.sqrt(sign.shape[1])
+    across = np.sqrt(np.maximum(1 - vdot * vdot, 0) + 1e-6)[None, :] * np.sqrt(np.maximum(size - along * along, 0) + 1e-12 * size)
+    most = norm[None, :] * (vdot[None, :] * along + across) + 1e-6 * norm[None, :] * np.sqrt(size)
+    if metric == "ip":
+        return -(most + (given @ center)[:, None]) - 1e-6 * (np.abs(given) @ np.abs(center))[:, None]
+    squared = (norm * norm * (1 - 1e-6))[None, :] + size * (1 - 1e-6) - 2 * most
+    return np.sqrt(np.maximum(squared, 0)) if metric == "l2sq" else squared / 2
+
+
+def near_codes(coded: DataFrame, block, k: int, center: Sequence[float], metric: str, oversample: int = 3, key: str = "key", vec: str = "vec") -> DataFrame:
+    """``qid, key, dist``: for each query of ``block`` the nearest ``k`` of each task's rows, by codes first.
+
+    ``coded``: key, vec, code.  In each batch the ``k * oversample`` rows nearest by their codes set
+    the limit; of the others only those whose code allows a distance within it are looked at.
+    """
+    metric, middle = distances.metric_name(metric), np.array(center, np.float64)
+    dims = len(middle)
+
+    def f(batches):
+        ids, q = block.value
+        if len(q) and q.shape[1] != dims:
+            raise ValueError(f"query vectors must have {dims} dimensions")
+        own_words, own_norm, own_vdot = encode(q, middle, metric)
+        own = signs(own_words, dims)
+        best = Nearest(len(ids), k)
+        for batch in batches:
+            for a in range(0, batch.num_rows, 4096):
+                part = batch.slice(a, 4096)
+                keys, x, code = part.column(0).to_numpy(), vectors_of(part.column(1), dims), part.column(2)
+                sign = signs(vectors_of(code.field("bits")), dims)
+                norm, vdot = code.field("norm").to_numpy().astype(np.float64), code.field("vdot").to_numpy().astype(np.float64)
+                for b in range(0, len(ids), 512):
+                    at = slice(b, min(b + 512, len(ids)))
+                    agree = own[at] @ sign.T / dims
+                    guess = norm[None, :] ** 2 - 2 * own_norm[at][:, None] * norm[None, :] * own_vdot[at][:, None] * vdot[None, :] * agree
+                    n = min(k * oversample, len(keys))
+                    first = np.zeros(guess.shape, bool)
+                    np.put_along_axis(first, np.argpartition(guess, n - 1, axis=1)[:, :n], True, axis=1)
+                    query, row = np.nonzero(first)
+                    best.offer(query + b, keys[row], exact_distances(metric, q[at][query], x[row]))
+                    rest = ~first & (least_distances(sign, norm, vdot, q[at], middle, metric) <= best.limit(at)[:, None])
+                    query, row = np.nonzero(rest)
+                    best.offer(query + b, keys[row], exact_distances(metric, q[at][query], x[row]))
+        yield best.rows(ids)
+
+    return coded.select(F.col(key).cast("long"), F.col(vec).cast("array<float>"), "code").mapInArrow(f, FOUND)
+
+
+def search_join(queries: DataFrame, items: DataFrame, k: int, center: Sequence[float], metric: str = "l2sq", query_key: str = "qid", query_vec: str = "qvec", key: str = "vec_id", vec: str = "embedding", oversample: int = 3) -> DataFrame:
+    """``qid, key, dist, rank``: ``search`` for every query row, by one scan of the codes."""
+    if oversample <= 0:
+        raise ValueError("hnsw_rabitq_oversample must be greater than 0")
+    rows = items.where(F.col(vec).isNotNull())
+    coded = rows if "code" in items.columns else with_code(rows, center, metric, vec)
+    return ranked(in_blocks(asked_of(queries, query_key, query_vec), lambda shared: near_codes(coded, shared, k, center, metric, oversample, key, vec)), k)

@@ -189,25 +189,21 @@ def _having(spark: SparkSession, sf_dir: str) -> DataFrame:
 _add("grouped_minby_having", _having, f"WITH n AS (SELECT label AS g, vec_id, row_number() OVER (PARTITION BY label ORDER BY list_distance({_E}, {_Q0}), vec_id) AS rn, count(*) OVER (PARTITION BY label) AS c FROM embeddings) SELECT g, string_agg(vec_id::VARCHAR, ',' ORDER BY rn) AS items FROM n WHERE rn <= 3 AND c > 50 GROUP BY g")
 
 
-#: The SQL of the joins asks for a few left rows; ``*_whole`` are the same joins of every left row.
-_EVERY = "vec_id is not null"
-
-
-def _join(k: int, metric: str = "l2sq", where: str | None = None, asked: str = "vec_id < 5") -> Query:
+def _join(k: int, metric: str = "l2sq", where: str | None = None) -> Query:
     def f(spark: SparkSession, sf_dir: str) -> DataFrame:
         e = table(spark, sf_dir, "embeddings")
-        queries = e.where(asked).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
+        queries = e.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
         found = joins.knn_join(queries, e, k, metric, where=where)
         return found.select("qid", F.col("key").alias("vec_id"), F.round("dist", 6).alias("dist"), F.col("rank").cast("long").alias("rank"))
 
     return f
 
 
-def _join_sql(k: int, metric: str = "l2sq", where: str | None = None, asked: str = "vec_id < 5") -> str:
-    d = f"{_DIST[metric]}(e.{_E}, q.{_E})"
+def _join_sql(k: int, metric: str = "l2sq", where: str | None = None, vec: str = _E, asked: str = "true") -> str:
+    d = f"{_DIST[metric]}(e.{vec}, q.{vec})"
     return (
-        f"WITH q AS (SELECT * FROM embeddings WHERE {asked}), r AS (SELECT q.vec_id AS qid, e.vec_id, {d} AS d, row_number() OVER (PARTITION BY q.vec_id ORDER BY {d}, e.vec_id) AS rank "
-        f"FROM q, embeddings e {'WHERE e.' + where if where else ''}) SELECT qid, vec_id, round(d, 6) AS dist, rank FROM r WHERE rank <= {k}"
+        f"WITH t AS (SELECT * FROM embeddings), q AS (SELECT * FROM t WHERE {asked}), r AS (SELECT q.vec_id AS qid, e.vec_id, {d} AS d, row_number() OVER (PARTITION BY q.vec_id ORDER BY {d}, e.vec_id) AS rank "
+        f"FROM q, t e {'WHERE e.' + where if where else ''}) SELECT qid, vec_id, round(d, 6) AS dist, rank FROM r WHERE rank <= {k}"
     )
 
 
@@ -218,78 +214,68 @@ for _name, _options in {
     "knn_join_cosine": {"k": 3, "metric": "cosine"},
     "knn_join_ip": {"k": 3, "metric": "ip"},
     "knn_join_where": {"k": 3, "where": "label < 7"},
-    "knn_join_all": {"k": 5, "asked": "vec_id >= 0"},
+    "knn_join_all": {"k": 5},
 }.items():
     _add(_name, _join(**_options), _join_sql(**_options))
-    if "asked" not in _options:
-        _add(f"{_name}_whole", _join(**_options, asked=_EVERY), _join_sql(**_options, asked=_EVERY))
-
-
-def _join_list(asked: str = "vec_id < 5") -> Query:
-    def f(spark: SparkSession, sf_dir: str) -> DataFrame:
-        ranked = _join(4, asked=asked)(spark, sf_dir)
-        listed = F.transform(F.array_sort(F.collect_list(F.struct("rank", "vec_id"))), lambda x: x["vec_id"].cast("string"))
-        return ranked.groupBy("qid").agg(F.array_join(listed, ",").alias("items"))
-
-    return f
 
 
-_add("knn_join_grouped_list", _join_list(), f"SELECT qid, string_agg(vec_id::VARCHAR, ',' ORDER BY rank) AS items FROM ({_join_sql(4)}) GROUP BY qid")
-_add("knn_join_grouped_list_whole", _join_list(_EVERY), f"SELECT qid, string_agg(vec_id::VARCHAR, ',' ORDER BY rank) AS items FROM ({_join_sql(4, asked=_EVERY)}) GROUP BY qid")
+def _join_far(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors far from the origin beside near copies of themselves, where a matrix product alone is too coarse."""
+    e = table(spark, sf_dir, "embeddings")
+    far = lambda by: F.transform("embedding", lambda x: (x * 0.001 + 1000 + by).cast("float"))
+    rows = e.select("vec_id", far(0.0).alias("embedding")).unionByName(e.select((F.col("vec_id") + 1_000_000).alias("vec_id"), far(0.0625).alias("embedding")))
+    found = joins.knn_join(rows.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec")), rows, 2)
+    return found.select("qid", F.col("rank").cast("long").alias("rank"), F.round("dist", 4).alias("dist"))
 
 
-def _lateral(asked: str = "vec_id < 5") -> Query:
-    """The same query as correlated SQL, which Catalyst turns into a join and a window."""
+_FAR = "list_transform(embedding, lambda x: CAST(CAST(x AS DOUBLE) * 0.001 + 1000 + {} AS FLOAT))"
+_add(
+    "knn_join_far",
+    _join_far,
+    f"WITH t AS (SELECT vec_id, {_FAR.format('0.0')}::DOUBLE[] AS v FROM embeddings UNION ALL SELECT vec_id + 1000000, {_FAR.format('0.0625')}::DOUBLE[] FROM embeddings), "
+    "r AS (SELECT q.vec_id AS qid, list_distance(e.v, q.v) AS d, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(e.v, q.v), e.vec_id) AS rank FROM t q, t e) SELECT qid, rank, round(d, 4) AS dist FROM r WHERE rank <= 2",
+)
 
-    def f(spark: SparkSession, sf_dir: str) -> DataFrame:
-        e = table(spark, sf_dir, "embeddings")
-        e.where(asked).createOrReplaceTempView("nearloom_asked")
-        e.createOrReplaceTempView("nearloom_items")
-        return spark.sql(
-            """SELECT q.vec_id AS qid, n.vec_id, round(n.d, 6) AS dist FROM nearloom_asked q, LATERAL (
-                 SELECT e.vec_id, sqrt(aggregate(zip_with(e.embedding, q.embedding, (x, y) -> (double(x) - double(y)) * (double(x) - double(y))), 0D, (s, t) -> s + t)) AS d
-                 FROM nearloom_items e ORDER BY d, e.vec_id LIMIT 3) n"""
-        )
 
-    return f
+def _join_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranked = _join(4)(spark, sf_dir)
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("rank", "vec_id"))), lambda x: x["vec_id"].cast("string"))
+    return ranked.groupBy("qid").agg(F.array_join(listed, ",").alias("items"))
 
 
-_add("knn_join_lateral", _lateral(), f"SELECT qid, vec_id, dist FROM ({_join_sql(3)})")
-_add("knn_join_lateral_whole", _lateral(_EVERY), f"SELECT qid, vec_id, dist FROM ({_join_sql(3, asked=_EVERY)})")
+_add("knn_join_grouped_list", _join_list, f"SELECT qid, string_agg(vec_id::VARCHAR, ',' ORDER BY rank) AS items FROM ({_join_sql(4)}) GROUP BY qid")
+#: What a correlated subquery with a limit asks for; as SQL it would be planned as a cartesian product.
+_add("knn_join_lateral", lambda s, d: _join(3)(s, d).drop("rank"), f"SELECT qid, vec_id, dist FROM ({_join_sql(3)})")
 
 
-def _macro(metric: str, asked: str = "vec_id < 20") -> Query:
+def _macro(metric: str) -> Query:
     def f(spark: SparkSession, sf_dir: str) -> DataFrame:
         e = table(spark, sf_dir, "embeddings")
-        rows = joins.vss_join(e.where(asked), e, "embedding", "embedding", 3, metric)
+        rows = joins.vss_join(e, e, "embedding", "embedding", 3, metric)
         return rows.select(F.round("score", 6).alias("score"), F.col("left_tbl.vec_id").alias("left_id"), F.col("right_tbl.vec_id").alias("right_id"), F.col("right_tbl.label").alias("right_label"))
 
     return f
 
 
-def _macro_sql(metric: str, asked: str = "vec_id < 20") -> str:
+def _macro_sql(metric: str) -> str:
     d = f"{_DIST[metric]}(e.{_E}, q.{_E})"
     score = {"l2sq": "d", "cosine": "1 - d", "ip": "-d"}[metric]
-    return f"WITH r AS (SELECT q.vec_id AS left_id, e.vec_id AS right_id, e.label AS right_label, {d} AS d, row_number() OVER (PARTITION BY q.vec_id ORDER BY {d}, e.vec_id) AS rn FROM embeddings q, embeddings e WHERE q.{asked}) SELECT round({score}, 6) AS score, left_id, right_id, right_label FROM r WHERE rn <= 3"
-
-
-for _name, _metric in (("vss_join_l2", "l2sq"), ("vss_join_cosine", "cosine"), ("vss_join_ip", "ip")):
-    _add(_name, _macro(_metric), _macro_sql(_metric))
-    _add(f"{_name}_whole", _macro(_metric, _EVERY), _macro_sql(_metric, _EVERY))
+    return f"WITH r AS (SELECT q.vec_id AS left_id, e.vec_id AS right_id, e.label AS right_label, {d} AS d, row_number() OVER (PARTITION BY q.vec_id ORDER BY {d}, e.vec_id) AS rn FROM embeddings q, embeddings e) SELECT round({score}, 6) AS score, left_id, right_id, right_label, rn FROM r WHERE rn <= 3"
 
 
-def _match(asked: str = "vec_id < 20") -> Query:
+def _match(metric: str) -> Query:
     def f(spark: SparkSession, sf_dir: str) -> DataFrame:
         e = table(spark, sf_dir, "embeddings")
-        rows = joins.vss_match(e.where(asked).select("vec_id", "embedding"), e, "embedding", "embedding", 3)
+        rows = joins.vss_match(e.select("vec_id", "embedding"), e, "embedding", "embedding", 3, metric)
         ids = F.transform("matches", lambda m: m["row"]["vec_id"].cast("string"))
         return rows.select("vec_id", F.array_join(ids, ",").alias("items"), F.round(F.element_at("matches", 3)["score"], 6).alias("worst"))
 
     return f
 
 
-for _name, _asked in (("vss_match_l2", "vec_id < 20"), ("vss_match_l2_whole", _EVERY)):
-    _add(_name, _match(_asked), f"SELECT left_id AS vec_id, string_agg(right_id::VARCHAR, ',' ORDER BY score, right_id) AS items, max(score) AS worst FROM ({_macro_sql('l2sq', _asked)}) GROUP BY left_id")
+for _name, _metric in (("l2", "l2sq"), ("cosine", "cosine"), ("ip", "ip")):
+    _add(f"vss_join_{_name}", _macro(_metric), f"SELECT score, left_id, right_id, right_label FROM ({_macro_sql(_metric)})")
+    _add(f"vss_match_{_name}", _match(_metric), f"SELECT left_id AS vec_id, string_agg(right_id::VARCHAR, ',' ORDER BY rn) AS items, max(score) FILTER (WHERE rn = 3) AS worst FROM ({_macro_sql(_metric)}) GROUP BY left_id")
 
 
 def _centroid(metric: str) -> Query:
@@ -322,12 +308,23 @@ _add(
 _add("rabitq_bits_popcount", lambda s, d: _codes(s, d).select("vec_id", "ones"), f"WITH m AS (SELECT pos, avg(x) AS c FROM ({_MEAN}) GROUP BY pos) SELECT vec_id, count(*) FILTER (WHERE x - c >= 0) AS ones FROM ({_MEAN}) JOIN m USING (pos) GROUP BY vec_id")
 
 
-def _quantized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    query = list(first_vector(spark, sf_dir).first().embedding)
-    return _rounded(rabitq.search(table(spark, sf_dir, "embeddings"), query, 10, center_of(spark, sf_dir), oversample=10), "vec_id")
+ASKED = "vec_id % 100 = 0"  # the queries of a search: every row whose id is divisible by 100, against all rows
 
 
-_add("rabitq_search", _quantized)
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").where(ASKED).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
+
+
+def _quantized(metric: str) -> Query:
+    def f(spark: SparkSession, sf_dir: str) -> DataFrame:
+        found = rabitq.search_join(asked(spark, sf_dir), table(spark, sf_dir, "embeddings"), 10, center_of(spark, sf_dir, metric), metric, oversample=10)
+        return found.select("qid", F.col("key").alias("vec_id"), F.round("dist", 6).alias("dist"), F.col("rank").cast("long").alias("rank"))
+
+    return f
+
+
+for _name, _metric in (("rabitq_search", "l2sq"), ("rabitq_search_cosine", "cosine"), ("rabitq_search_ip", "ip")):
+    _add(_name, _quantized(_metric), _join_sql(10, _metric, asked=ASKED))
 
 
 def _recall_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -348,6 +345,39 @@ def _exists(spark: SparkSession, sf_dir: str) -> DataFrame:
 _add("knn_semi_join", _exists, f"SELECT vec_id, round(list_distance({_E}, {_Q0}), 6) AS dist FROM embeddings WHERE vec_id IN (SELECT doc_id FROM labels WHERE toxic = 0) ORDER BY list_distance({_E}, {_Q0}), vec_id LIMIT 10")
 
 
+def _anti(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, d = table(spark, sf_dir, "embeddings"), table(spark, sf_dir, "labels").select(F.col("doc_id").alias("vec_id"))
+    return _rounded(exact.knn(e.join(d, "vec_id", "left_anti"), first_vector(spark, sf_dir), 10, dims=DIMS), "vec_id")
+
+
+for _name, _where in (("knn_not_exists", "NOT EXISTS (SELECT 1 FROM labels WHERE doc_id = vec_id)"), ("knn_not_in", "vec_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")):
+    _add(_name, _anti, f"SELECT vec_id, round(list_distance({_E}, {_Q0}), 6) AS dist FROM embeddings WHERE {_where} ORDER BY list_distance({_E}, {_Q0}), vec_id LIMIT 10")
+
+
+def _group_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What replaying grouped top-k results takes: distinct counts, filtered counts, bool_and, max_by."""
+    rows = _with_dist(spark, sf_dir)
+    return rows.groupBy("label").agg(
+        F.countDistinct("vec_id").alias("ids"), F.count(F.when(F.col("vec_id") % 2 == 0, 1)).alias("even"), F.bool_and(F.col("dist") >= 0).alias("sound"),
+        F.max_by("vec_id", F.struct("dist", "vec_id")).alias("farthest"), F.min_by("vec_id", F.struct("dist", (-F.col("vec_id")).alias("n"))).alias("nearest"),
+    )
+
+
+_add(
+    "grouped_checks",
+    _group_checks,
+    f"SELECT label, count(DISTINCT vec_id) AS ids, count(*) FILTER (WHERE vec_id % 2 = 0) AS even, bool_and(d >= 0) AS sound, arg_max(vec_id, (d, vec_id)) AS farthest, arg_min(vec_id, (d, -vec_id)) AS nearest FROM (SELECT *, list_distance({_E}, {_Q0}) AS d FROM embeddings) GROUP BY label",
+)
+
+
+def _max_by_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = exact.grouped_min_by_k(_with_dist(spark, sf_dir), {"g": F.col("label")}, F.col("vec_id"), -F.col("dist"), 3)
+    return listed.select("g", F.array_join(F.transform("items", lambda x: x.cast("string")), ",").alias("items"))
+
+
+_add("grouped_maxby_k3", _max_by_k, f"WITH n AS (SELECT label AS g, vec_id, row_number() OVER (PARTITION BY label ORDER BY list_distance({_E}, {_Q0}) DESC, vec_id) AS rn FROM embeddings) SELECT g, string_agg(vec_id::VARCHAR, ',' ORDER BY rn) AS items FROM n WHERE rn <= 3 GROUP BY g")
+
+
 def queries() -> dict[str, Query]:
     from nearloom.plans import approximate
 
@@ -355,4 +385,6 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    from nearloom.plans import approximate
+
+    return _SQL | approximate.oracle_sql()

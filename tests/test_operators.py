@@ -151,3 +151,30 @@ def test_unrolled_equals_folded(spark, sf_dir):
         a = distances.distance(name, F.col("embedding"), F.reverse("embedding"), 64)
         b = distances.distance(name, F.col("embedding"), F.reverse("embedding"))
         assert rows.where(F.abs(a - b) > 1e-9).count() == 0
+
+
+def test_lengths_that_differ_are_errors(spark):
+    rows = spark.createDataFrame([(1, [1.0, 0.0, 9.0], 1), (2, [1.0, 0.0, 3.0], 1)], VEC)
+    query = spark.createDataFrame([([1.0, 0.0],)], "q array<float>")
+    asked = spark.createDataFrame([(1, [1.0, 0.0])], "qid long, qvec array<float>")
+    for f in (lambda: exact.knn(rows, [1, 0], 1), lambda: exact.knn(rows, query, 1), lambda: exact.knn(rows, query, 1, dims=2), lambda: exact.knn(rows, query, 1, dims=3), lambda: joins.knn_join(asked, rows, 1)):
+        with pytest.raises(Exception, match="vectors must"):
+            f().collect()
+
+
+def test_index_is_found_by_metric_and_survives_a_crash(spark, modular, tmp_path):
+    for name, metric in (("a", "cosine"), ("b", "l2sq"), ("c", "l2sq")):
+        VectorIndex.create(modular, str(tmp_path / name), name, table="t", metric=metric)
+    find = lambda metric: VectorIndex.find(spark, str(tmp_path), "t", "embedding", metric)
+    assert find("l2sq").about["name"] == "b" and find("cosine").about["name"] == "a" and find("ip") is None
+    index = VectorIndex.load(spark, str(tmp_path / "b"))
+    index._segment(modular.select(F.col("vec_id").alias("key"), F.col("embedding").alias("vec")), 500)  # written, never made current
+    (tmp_path / "b" / "manifests" / "7").mkdir()  # begun, not ended
+    again = VectorIndex.load(spark, str(tmp_path / "b"))
+    assert again.nodes().count() == 500
+    again.update(modular.where("vec_id < 10"))
+    assert again.info().first()["count"] == 500 and VectorIndex.load(spark, str(tmp_path / "b")).info().first().capacity == 510
+    again.compact()
+    assert VectorIndex.load(spark, str(tmp_path / "b")).info().first().capacity == 500
+    plan = again._planned(3, modular.where("label = 2").select("vec_id"))[0]._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(shard" not in plan and len(again.search([3.0, 4.0, 5.0], 5, modular.where("label = 2").select("vec_id")).collect()) == 5

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from nearloom.operators import knn as exact
+from nearloom.operators import knn_join as joins
 from nearloom.operators import rabitq
 from nearloom.operators.index import VectorIndex
 from nearloom.operators.knn_join import matrix_distances
@@ -72,12 +73,25 @@ def test_graph_index(spark, sf_dir, rows, asked, tmp_path, metric):
         assert recall(now, asked, lambda q: index.search(q, 10)) >= LEAST
 
 
-def test_whole_joins_ask_every_row(spark, sf_dir, rows):
-    from nearloom.plans import approximate, catalogue
+def test_joins_ask_every_row(spark, sf_dir, rows):
+    from nearloom.plans import catalogue
 
     held = [tuple(r) for r in rows.select("vec_id", "embedding").collect()]
     want = {(i, j) for i, q in held for j in nearest(held, q, "l2sq", 3)}
-    got = {(r.qid, r.vec_id) for r in catalogue.queries()["knn_join_k3_whole"](spark, sf_dir).collect()}
+    got = {(r.qid, r.vec_id) for r in catalogue.queries()["knn_join_k3"](spark, sf_dir).collect()}
     assert got == want and len(want) == 3 * len(held)
-    found = {(r.qid, r.vec_id) for r in approximate.hnsw_join_whole(spark, sf_dir).collect()}
-    assert len(found) == len(want) and len(found & want) >= LEAST * len(want)
+
+
+@pytest.mark.parametrize("metric", ["l2sq", "cosine", "ip"])
+def test_joins_of_large_near_copies(spark, metric):
+    g = np.random.default_rng(0)
+    base = g.standard_normal((12, 64)) * 1000
+    x = np.concatenate([base + g.standard_normal((12, 64)) * 1e-3 * i for i in range(9)]).astype(np.float32)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    for found in (joins.knn_join(rows.withColumnRenamed("vec_id", "qid").withColumnRenamed("embedding", "qvec"), rows, 5, metric), rabitq.search_join(rows.withColumnRenamed("vec_id", "qid").withColumnRenamed("embedding", "qvec"), rows, 5, rabitq.centroid(rows, 64, metric).first().centroid, metric, oversample=1)):
+        by = {}
+        for r in found.orderBy("qid", "rank").collect():
+            by.setdefault(r.qid, []).append(r.key)
+        for i in range(len(x)):
+            d = joins.exact_distances(metric, np.broadcast_to(x[i], x.shape), x)
+            assert by[i] == np.lexsort((np.arange(len(x)), d))[:5].tolist()
