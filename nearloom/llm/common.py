@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -25,21 +28,61 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder; lineage ends there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session's ``spark.checkpoint.dir`` names, shared by all executors.
 
-    The folder is the session's ``spark.checkpoint.dir``.  Only where that is unset (tests on one
-    machine) is a temporary folder set.
+    Where it is unset, one machine (a local master, as in tests) gets a temporary folder; a cluster
+    gets an error.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        import tempfile
-
-        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        where = spark.conf.get("spark.checkpoint.dir", None)
+        if where is None and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(where or tempfile.mkdtemp(prefix="nearloom-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder; lineage ends there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+class Scratch:
+    """Tables in the shared folder that live as long as the ``with`` block.
+
+    A table is computed once and ends the lineage of what reads it, so a lost executor costs no
+    more than the step that runs.  Results must be ``checkpointed`` before the block ends.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.folder, self.made = spark, f"{shared_folder(spark)}/nearloom-{uuid.uuid4().hex}", 0
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self._delete(self.folder)
+
+    def put(self, df: DataFrame) -> DataFrame:
+        path, self.made = f"{self.folder}/{self.made}", self.made + 1
+        df.write.parquet(path)
+        table = self.spark.read.schema(df.schema).parquet(path)
+        table.__dict__["scratch_path"] = path
+        return table
+
+    def drop(self, *tables: DataFrame | None) -> None:
+        """Delete tables that ``put`` made and nothing reads any more."""
+        for t in tables:
+            if t is not None:
+                self._delete(t.__dict__["scratch_path"])
+
+    def _delete(self, path: str) -> None:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def split_row(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, list[str]]:
     """``df`` as columns ``__id``, ``__text`` and ``__rest`` (a struct of everything else).
 
