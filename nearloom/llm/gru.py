@@ -253,29 +253,35 @@ def step(w: dict, units_of: tuple, first: np.ndarray, length: np.ndarray, y: np.
     return loss, g
 
 
-def train(texts: list[bytes], labels: np.ndarray, group: np.ndarray, steps: int = 700, batch: int = 128, rate: float = 0.015, seed: int = 7) -> dict[str, np.ndarray]:
-    """Weights learned from texts of at most a window each; a third of each batch is positive.
+def train(texts: list[bytes], labels: np.ndarray, steps: int = 600, batch: int = 128, rate: float = 0.025, seed: int = 7, refresh: int = 60) -> dict[str, np.ndarray]:
+    """Weights learned from whole texts with a label each; a third of each batch is positive.
 
-    A label holds for a document (``group``), not for each of its windows: for the second half of
-    the steps, windows of a positive document that look negative beside a positive one are left out.
+    A label holds for a text, not for each of its windows.  So every ``refresh`` steps all windows
+    are scored, and those of a positive text are then drawn in proportion to exp(logit), which
+    settles on the ones that explain the label.  Windows of negative texts are drawn evenly.
     """
     w, g = new_weights(seed), np.random.default_rng(seed)
     buffer, starts, lengths, counts = units(texts)
     units_of = buffer, starts, lengths, unit_hashes(buffer, starts, lengths)
     first, length, text = windows(counts)
-    y, group, use = labels[text].astype(np.float32), group[text], np.ones(len(text), bool)
+    at = np.searchsorted(text, np.arange(len(texts) + 1))
+    own = np.diff(at)
+    chance = np.repeat(1 / own, own)
+    y = np.asarray(labels, np.float32)[text]
+    positive, negative, n = np.flatnonzero(np.asarray(labels) == 1), np.flatnonzero(y == 0), batch // 3
     mean = {k: np.zeros_like(v) for k, v in w.items()}
     square = {k: np.zeros_like(v) for k, v in w.items()}
-    positive, negative = np.flatnonzero(y > 0), np.flatnonzero(y == 0)
     for done in range(1, steps + 1):
-        if done == steps // 2:
+        if done % refresh == 0:
             table = WordTable(w)
-            logit = window_logits(table, table.lookup(buffer, starts, lengths), first, length)
-            best = np.full(int(group.max()) + 1, -np.inf)
-            np.maximum.at(best, group, logit)
-            use = (y == 0) | (logit > 0) | (logit == best[group])
-            positive = np.flatnonzero((y > 0) & use)
-        pick = np.concatenate([g.choice(positive, batch // 3), g.choice(negative, batch - batch // 3)])
+            logit = window_logits(table, table.lookup(buffer, starts, lengths), first, length).astype(np.float64)
+            likely = np.exp(np.clip(logit - np.repeat(np.maximum.reduceat(logit, at[:-1]), own), -30, 0) * min(2.0, 4 * done / steps))
+            chance = likely / np.repeat(np.add.reduceat(likely, at[:-1]), own)
+            del table
+        upto, t = np.cumsum(chance), g.choice(positive, n)
+        before = upto[at[t]] - chance[at[t]]
+        found = np.clip(np.searchsorted(upto, before + g.random(n) * (upto[at[t + 1] - 1] - before)), at[t], at[t + 1] - 1)
+        pick = np.concatenate([found, g.choice(negative, batch - n)])
         _, grad = step(w, units_of, first[pick], length[pick], y[pick], np.ones(batch, np.float32))
         now = rate * min(1, done / 20) * (1 - 0.95 * done / steps)
         norm = np.sqrt(sum(float((v * v).sum()) for v in grad.values()))

@@ -1,10 +1,11 @@
 """Toxicity scores of whole texts, from overlapping windows read by a recurrent classifier.
 
 The classifier (``gru``) is trained on the driver from a bounded sample of labelled rows: at most
-``POSITIVE`` and ``NEGATIVE`` documents, chosen by a hash of their ids, and at most ``WINDOWS``
-evenly spaced windows of each.  Scoring bounds nothing: every window of every text is read.  A
-logistic head, fitted on a third of the sample that the classifier has not seen and weighted back
-to the labels' own shares, turns a document's greatest window and mean window into its score.
+``POSITIVE`` and ``NEGATIVE`` documents, chosen by a hash of their ids.  Training and scoring read
+every window of every text they are given.  A logistic head turns a document's greatest window and
+mean window into its score.  It is fitted on what two classifiers, each trained on one half of the
+sample, say of the other half, weighted back to the labels' own shares; the classifier that scores
+is trained on all of the sample.
 
 Rows whose crc32(doc_id as text) mod 4 is 2 are held out of all fitting.  Scores use the text only.
 
@@ -15,6 +16,7 @@ without labels of both kinds every score is 0; an empty table gives an empty res
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +28,7 @@ from pyspark.sql import types as T
 from nearloom.llm import gru
 from nearloom.llm.common import FLUSH_BYTES, binary_list, checkpointed, joined_row, split_row
 
-POSITIVE, NEGATIVE, WINDOWS = 1500, 2500, 24
+POSITIVE, NEGATIVE = 1500, 2500
 THRESHOLD = 0.3
 
 
@@ -50,28 +52,6 @@ def _slices(batch: pa.RecordBatch, size: int = FLUSH_BYTES // 4) -> Iterator[pa.
         yield batch.slice(at, step)
 
 
-def _sampled_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = []
-        for text in binary_list(batch.column(1)):
-            buffer, starts, lengths, counts = gru.units([text])
-            first, length, _ = gru.windows(counts)
-            pick = np.unique(np.linspace(0, len(first) - 1, WINDOWS).astype(int))
-            raw = buffer.tobytes()
-            out.append([raw[starts[f] : starts[f + n - 1] + lengths[f + n - 1]] if n else b"" for f, n in zip(first[pick], length[pick], strict=True)])
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.list_(pa.binary()))], names=["doc_id", "toxic", "windows"])
-
-
-def _featured(model):
-    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = gru.WordTable(model.value)
-        for batch in (s for b in batches for s in _slices(b)):
-            x = features(table, binary_list(batch.column(1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(x[:, 0]), pa.array(x[:, 1])], names=["doc_id", "toxic", "x", "y"])
-
-    return f
-
-
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Newton's method with a small ridge; the last coefficient is the constant."""
     x = np.column_stack([x, np.ones(len(x))])
@@ -96,21 +76,20 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict | None:
         return None
     chosen = [known.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for c, n in ((1, POSITIVE), (0, NEGATIVE))]
     chosen = chosen[0].unionByName(chosen[1])  # at most POSITIVE + NEGATIVE ids
-    sample = checkpointed(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(3))))
-    rows = sample.where("part < 2").select("doc_id", "text", "toxic").mapInArrow(_sampled_windows, "doc_id long, toxic int, windows array<binary>").collect()
-    rows.sort(key=lambda r: (r.doc_id, r.toxic, len(r.windows)))
-    if len({r.toxic for r in rows}) < 2:
-        return None
-    texts = [bytes(w) for r in rows for w in r.windows]
-    group = np.repeat(np.arange(len(rows)), [len(r.windows) for r in rows])
-    weights = gru.train(texts, np.array([r.toxic for r in rows])[group], group)
-    shared = docs.sparkSession.sparkContext.broadcast(weights)
-    heads = sample.where("part = 2").select("doc_id", "text", "toxic").mapInArrow(_featured(shared), "doc_id long, toxic int, x double, y double").orderBy("doc_id", "x").collect()
-    y = np.array([r.toxic for r in heads], float)
-    if len(set(y.tolist())) < 2:
-        return None
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    texts, y = binary_list(rows.column("text")), rows.column("toxic").to_numpy()
+    half = np.array([zlib.crc32(b"half %d" % i) % 2 for i in rows.column("doc_id").to_pylist()])
+    del rows
+    x = np.zeros((len(texts), 2))
+    for h in (0, 1):  # each half is judged by what the other has taught
+        train, judge = np.flatnonzero(half != h), np.flatnonzero(half == h)
+        if len(set(y[train].tolist())) == 2 and len(judge):
+            words = gru.WordTable(gru.train([texts[i] for i in train], y[train], steps=300))
+            for a in range(0, len(judge), 64):
+                x[judge[a : a + 64]] = features(words, [texts[i] for i in judge[a : a + 64]])
     weight = np.where(y > 0, share[1] / y.sum(), share[0] / (1 - y).sum())
-    return {"words": shared, "head": _logistic(np.array([(r.x, r.y) for r in heads]), y, weight * len(y) / weight.sum())}
+    head = _logistic(x, y, weight * len(y) / weight.sum())
+    return {"words": docs.sparkSession.sparkContext.broadcast(gru.train(texts, y)), "head": head}
 
 
 def score(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from nearloom.llm import gru
+from nearloom.llm import gru, toxicity
 
 
 def test_gradients_against_differences():
@@ -44,9 +44,56 @@ def test_learns_a_word_and_a_stem():
         texts.append(" ".join(words).encode())
         labels.append(int(i % 4 == 0))
     labels = np.array(labels)
-    w = gru.train(texts[:300], labels[:300], np.arange(300), steps=150)
+    w = gru.train(texts[:300], labels[:300], steps=150)
     table = gru.WordTable(w)
     buffer, starts, lengths, counts = gru.units(texts[300:])
     first, length, _ = gru.windows(counts)
     logit = gru.window_logits(table, table.lookup(buffer, starts, lengths), first, length)
     assert ((logit > 0) == labels[300:]).mean() > 0.95
+
+
+def test_forward_pass_against_a_plain_one():
+    """Whole texts, word by word and byte by byte, as the equations have it."""
+    w = gru.new_weights(3)
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+
+    def gated(x, h, name):
+        a, b = x @ w[f"{name}x"] + w[f"{name}b"], h @ w[f"{name}h"]
+        z, r, _ = np.split(sigmoid(a + b), 3)
+        n = np.tanh(a[2 * gru.H :] + r * b[2 * gru.H :])
+        return n + (h - n) * z
+
+    def word(b):
+        ends = []
+        for name, run in (("cf", b), ("cb", b[::-1])):
+            h = np.zeros(gru.H)
+            for c in run:
+                h = gated(w["byte"][c], h, name)
+            ends.append(h)
+        one = np.frombuffer(b, np.uint8)
+        bucket = int(gru.unit_hashes(one, np.array([0]), np.array([len(b)]))[0] % gru.BUCKETS)
+        return np.concatenate([*ends, w["word"][bucket]])
+
+    def window(words):
+        if not words:
+            return float(w["bias"][0])
+        f, b, h = [], [], np.zeros(gru.H)
+        for v in words:
+            f.append(h := gated(v, h, "wf"))
+        h = np.zeros(gru.H)
+        for v in words[::-1]:
+            b.append(h := gated(v, h, "wb"))
+        states = np.array([np.concatenate(p) for p in zip(f, b[::-1], strict=True)])
+        a = np.exp(states @ w["att"])
+        return float((a / a.sum()) @ states @ w["out"] + w["bias"][0])
+
+    texts = [b"", b"!!!", b"One word", b" ".join(b"w%d" % (i % 40) for i in range(131)), b"x" * 47 + b" end"]
+    want = []
+    for t in texts:
+        units = [u for run in __import__("re").findall(rb"[0-9a-z\x80-\xff]+", t.lower()) for u in (run[i : i + gru.CHARS] for i in range(0, len(run), gru.CHARS))]
+        vectors = [word(u) for u in units]
+        n = max(1, -(-(len(vectors) - gru.WORDS) // gru.STRIDE) + 1)
+        logits = np.array([window(vectors[i * gru.STRIDE : i * gru.STRIDE + gru.WORDS]) for i in range(n)])
+        p = sigmoid(logits).mean()
+        want.append((logits.max(), np.log(p / (1 - p))))
+    assert np.allclose(toxicity.features(gru.WordTable(w), texts), want, atol=2e-4)

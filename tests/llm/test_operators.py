@@ -143,6 +143,29 @@ def test_best_fit_against_a_scan():
     assert len(used) == len(room) and sorted(64 - v for v in used.values()) == sorted(room)
 
 
+def test_plan_of_counts_is_best_fit_decreasing():
+    g = np.random.default_rng(4)
+    for window, n, most in ((64, 900, 65), (64, 5, 65), (1024, 4000, 1025), (50, 700, 12), (7, 0, 8)):
+        lengths = np.sort(g.integers(1, most, n))[::-1]
+        values, counts = np.unique(lengths, return_counts=True)
+        plan = packing.Plan(dict(zip(values.tolist(), counts.tolist(), strict=True)), window)
+        rank = np.concatenate([np.arange(c) for c in counts[::-1]]) if n else np.zeros(0, int)
+        sequence, offset = plan.place(lengths, rank)
+        used = {}
+        for s, o, k in sorted(zip(sequence.tolist(), offset.tolist(), lengths.tolist(), strict=True)):
+            assert used.get(s, 0) == o
+            used[s] = o + k
+        want = {}
+        for (s, o), k in zip(packing.best_fit(lengths.tolist(), window), lengths.tolist(), strict=True):
+            want[s] = max(want.get(s, 0), o + k)
+        assert sorted(used.values()) == sorted(want.values()) and set(used) == set(range(plan.made))
+
+
+def test_packing_does_not_depend_on_partitions(spark, docs):
+    made = {packing.pack(docs.repartition(n)).agg(F.max("sequence_id")).first()[0] for n in (1, 3, 7)}
+    assert len(made) == 1
+
+
 def test_toxicity(spark, sf_dir, docs):
     d, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     model = toxicity.fit(d, labels)

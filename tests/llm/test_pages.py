@@ -1,5 +1,6 @@
 """Url filters and main text, on pages with awkward markup and hosts."""
 
+import numpy as np
 import pytest
 
 from nearloom.llm import template, urlfilter
@@ -35,6 +36,35 @@ def test_ranks_settle_beyond_sixteen_links(spark):
     assert all(abs(got[f"h{i}"] - 0.15 * 0.85**i) < 1e-6 for i in range(21)) and got["h20"] > 0
 
 
+def test_ranks_against_plain_pagerank(spark):
+    g = np.random.default_rng(8)
+    hosts = [f"h{i}.org" for i in range(30)] + ["a.b.site.net", "site.net", "b.site.net", "c.site.net"]
+    edges = {(hosts[a], hosts[b]): float(g.integers(1, 5)) for a, b in g.integers(0, len(hosts), (90, 2)) if a != b}
+    seeds = [(hosts[i], "trust" if i % 2 else "distrust") for i in (1, 2, 5, 8, 31)]
+    want = {}
+    for kind in ("trust", "distrust"):
+        m = np.zeros((len(hosts), len(hosts)))
+        for (a, b), n in edges.items():
+            a, b = (a, b) if kind == "trust" else (b, a)
+            m[hosts.index(b), hosts.index(a)] += n
+        out = m.sum(0)
+        m = np.divide(m, out, out=np.zeros_like(m), where=out > 0)
+        start = np.array([float((h, kind) in seeds) for h in hosts])
+        start /= start.sum()
+        want[kind] = np.linalg.solve(np.eye(len(hosts)) - 0.85 * m, 0.15 * start)
+    rows = spark.createDataFrame([(a, b, n) for (a, b), n in edges.items()], "src string, dst string, n double")
+    got = {r.host: r for r in urlfilter.propagate(rows, spark.createDataFrame(seeds, "host string, kind string")).collect()}
+    for i, h in enumerate(hosts):
+        for kind in want:
+            assert abs((got[h][kind] if h in got else 0) - want[kind][i]) < 1e-6
+
+
+def test_hosts_and_all_domains_above_are_kin(spark):
+    rows = spark.createDataFrame([("blog.x.example.net", ""), ("com", ""), ("", ""), ("x.example.net", None)], "host string, html string")
+    got = {(r.src, r.dst): r.n for r in urlfilter.host_edges(rows).collect()}
+    assert got == {(a, b): 1.0 for p, q in (("blog.x.example.net", "x.example.net"), ("x.example.net", "example.net")) for a, b in ((p, q), (q, p))}
+
+
 ARTICLE = "<article><h1>Title {i}</h1><p><b>First &amp; {i}\n words<br>here<p>Second&nbsp;block {i}</p><ul><li>a</li><li>b {i}</li></ul></article>"
 WANT = "Title {i}\n\nFirst & {i} words here\n\nSecond block {i}\n\na\n\nb {i}"
 
