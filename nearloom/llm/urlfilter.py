@@ -3,12 +3,13 @@
 Where a rule fits, the longest decides.  For other urls the host decides: personalised PageRank
 spreads trust along links from hosts that rules mostly allow, and distrust against links (to those
 who link there) from hosts that rules mostly block.  Besides the pages' links, a host and the
-domain above it are taken to link to each other.  A host is blocked where its distrust is above
+domain above it are taken to link to each other, and so on up to the domain of two labels.  A host is blocked where its distrust is above
 both its trust and ``threshold`` times an even share.
 
 Links are counted per pair of hosts before anything is joined; ranks, edges and hosts stay in
-tables, and each step is one join and one aggregate on hosts.  Steps are taken until four of them
-together change ranks by less than ``SETTLED``.  Only a sum reaches the driver.
+tables, and each step is one join and one aggregate on hosts.  A step brings ranks nearer to their
+fixed point by ``DAMPING`` at least, so ``STEPS`` steps leave a total error below ``SETTLED``,
+whatever the graph.  Only counts reach the driver.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, takes no rule and
 is allowed; null or empty html has no links; repeated rows get equal verdicts, and their links
@@ -17,16 +18,20 @@ count each; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nearloom.llm.common import BROADCAST_IDS, checkpointed
+from nearloom.llm.common import BROADCAST_IDS, Scratch, checkpointed
 
 #: (host, path, verdict): fits the host and its subdomains where the url's path starts so.
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
-DAMPING, STEPS, CUT_EVERY, SETTLED, THRESHOLD = 0.85, 120, 4, 1e-6, 0.5  # 0.85 ** 94 < SETTLED / 4: it settles before STEPS
+DAMPING, SETTLED, THRESHOLD = 0.85, 1e-6, 0.5
+STEPS = math.ceil(math.log(SETTLED / 2) / math.log(DAMPING))  # two distributions differ by 2 at most
+#: Steps that one plan holds; their result is written before the next plan.
+CUT_EVERY = 8
 #: Rules that are written into the plan; more of them are joined.
 INLINE_RULES = 200
 
@@ -66,33 +71,37 @@ def host_edges(pages: DataFrame) -> DataFrame:
     links = pages.where("host <> ''").select(F.col("host").alias("src"), F.explode(F.regexp_extract_all("html", F.lit(_LINK), 1)).alias("to"))
     to = F.when(F.col("to").startswith("//"), F.concat(F.lit("http:"), F.col("to"))).otherwise(F.col("to"))
     linked = links.select("src", host_of(to).alias("dst")).where("dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("n"))
-    hosts = pages.where("host <> ''").select("host").distinct()
-    above = F.regexp_extract("host", r"^[^.]+\.([^.]+\..+|[^.]+)$", 1)
-    kin = hosts.select("host", above.alias("up")).where("up like '%.%'")
-    kin = kin.select(F.col("host").alias("src"), F.col("up").alias("dst")).unionByName(kin.select(F.col("up").alias("src"), F.col("host").alias("dst"))).withColumn("n", F.lit(1.0))
+    labels = F.split("host", r"\.")
+    chain = F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))), lambda i: F.concat_ws(".", F.slice(labels, i, F.size(labels))))
+    above = pages.where("host <> ''").select("host").distinct().select(chain.alias("chain")).where(F.size("chain") > 1)
+    pair = F.transform(F.sequence(F.lit(1), F.size("chain") - 1), lambda i: F.struct(F.get("chain", i - 1).alias("src"), F.get("chain", i).alias("dst")))
+    kin = above.select(F.explode(pair).alias("k")).select("k.*").distinct()
+    kin = kin.unionByName(kin.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).withColumn("n", F.lit(1.0))
     return linked.unionByName(kin).groupBy("src", "dst").agg(F.sum("n").alias("n"))
 
 
 def propagate(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """``host, trust, distrust``; seeds: ``host, kind`` (``trust`` or ``distrust``)."""
+    with Scratch(edges.sparkSession) as scratch:
+        return _propagated(edges, seeds, scratch)
+
+
+def _propagated(edges: DataFrame, seeds: DataFrame, scratch: Scratch) -> DataFrame:
     both = edges.select(F.lit("trust").alias("kind"), F.col("src").alias("at"), F.col("dst").alias("to"), "n").unionByName(edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("at"), F.col("src").alias("to"), "n"))
     out = both.groupBy("kind", "at").agg(F.sum("n").alias("out"))
-    flow = checkpointed(both.join(out, ["kind", "at"]).select("kind", F.col("at").alias("host"), "to", (F.col("n") / F.col("out")).alias("share")))
+    flow = scratch.put(both.join(out, ["kind", "at"]).select("kind", F.col("at").alias("host"), "to", (F.col("n") / F.col("out")).alias("share")))
     size = seeds.groupBy("kind").agg(F.count(F.lit(1)).alias("size"))
-    start = checkpointed(seeds.join(F.broadcast(size), "kind").select("kind", "host", (F.lit(1.0) / F.col("size")).alias("rank")))
+    start = scratch.put(seeds.join(F.broadcast(size), "kind").select("kind", "host", (F.lit(1.0) / F.col("size")).alias("rank")))
     base = start.select("kind", "host", ((1 - DAMPING) * F.col("rank")).alias("rank"))
-    rank = cut = start
+    rank, held = start, None
     for i in range(1, STEPS + 1):
         moved = rank.join(flow, ["kind", "host"]).select("kind", F.col("to").alias("host"), (DAMPING * F.col("rank") * F.col("share")).alias("rank"))
-        after = moved.unionByName(base).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
-        if i % CUT_EVERY == 0:
-            after = checkpointed(after)
-            change = after.withColumnRenamed("rank", "new").join(cut, ["kind", "host"], "full").agg(F.sum(F.abs(F.coalesce("new", F.lit(0.0)) - F.coalesce("rank", F.lit(0.0))))).first()[0]
-            cut = after
-            if (change or 0) < SETTLED:
-                return _both(after)
-        rank = after
-    raise RuntimeError("trust and distrust have not settled")
+        rank = moved.unionByName(base).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
+        if i % CUT_EVERY == 0 or i == STEPS:
+            rank = scratch.put(rank)
+            scratch.drop(held)
+            held = rank
+    return checkpointed(_both(rank))
 
 
 def _both(rank: DataFrame) -> DataFrame:
