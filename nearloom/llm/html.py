@@ -16,6 +16,8 @@ _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data dfn em font i i
 _VOID = frozenset("hr br img input meta link wbr area base col embed param source track".split())
 _CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 _SIBLING = {"body": {"head"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+#: Elements beyond this depth count as what is around them, so a path is bounded; their text stays.
+DEEP = 200
 _SCOPE = frozenset("ul ol dl table article section div body html nav main aside header footer form".split())
 
 
@@ -47,7 +49,7 @@ def read(source: str) -> tuple[list[Block], dict[tuple[str, ...], int]]:
         if text:
             joined = " ".join("".join(text).split())
             if joined:
-                blocks.append(Block(tuple(k for _, k in path), joined, min(linked, len(joined))))
+                blocks.append(Block(tuple(k for _, k in path[:DEEP]), joined, min(linked, len(joined))))
             text.clear()
         linked = 0
 
@@ -84,8 +86,7 @@ def read(source: str) -> tuple[list[Block], dict[tuple[str, ...], int]]:
             continue
         links = 0
         if t[1] == "/":
-            if any(n == name for n, _ in path):
-                close({name})
+            close({name})
             continue
         if name in _CLOSES_P:
             close({"p"}, _SCOPE)
@@ -94,7 +95,8 @@ def read(source: str) -> tuple[list[Block], dict[tuple[str, ...], int]]:
         if name in _VOID or t.endswith("/>"):
             continue
         path.append((name, element_key(name, t)))
-        key = tuple(k for _, k in path)
-        opened[key] = opened.get(key, 0) + 1
+        if len(path) <= DEEP:
+            key = tuple(k for _, k in path)
+            opened[key] = opened.get(key, 0) + 1
     flush()
     return blocks, opened

@@ -3,20 +3,29 @@
 A token is an element with the path of elements around it, or the whole text of a block there.
 Its occurrence vector says how often it stands on each page of the host; tokens that share a
 vector form a class.  A class is valid if it has at least ``CLASS`` tokens and stands on at least
-``SUPPORT`` of the host's different pages.  Frequent paths nest into the
-host's template, whether their class is valid or not, as repeated elements have vectors of their
-own; class validity decides only which repeated texts are template.  What lies between template tokens are slots.  A slot is main text if it is in the innermost
-template element that holds ``HELD`` of the host's running text, is not mostly links, and is in no
-element that its name or a whole word of its class, id or role calls a menu, header, footer, sidebar, notice,
-advert, form or comment.  Article and main elements are the main text where the template's main
-element is in one, where there is no template, or where they hold half of the page's running text;
-elsewhere (teasers are marked so too) the slot decides.  A text that stands on ``TEMPLATE_TEXT`` of many different pages outside
-an article is template, not content.
+``SUPPORT`` of the host's different pages; texts must stand on ``TEMPLATE_TEXT`` of them and on
+``LEAST`` at least.  The elements and texts of valid classes, nested by their paths, are the
+host's template.  Elements that repeat in varying number (paragraphs, items) have vectors of
+their own and belong to the slot around them.
+
+A slot is what lies between template elements.  The main slot is the innermost template element
+that holds ``HELD`` of what the host's pages say in running text, template texts and links left
+out; if an article or main element holds as much, it is taken rather than a box inside it.  Its
+blocks are the main text, with a heading of the first order that the template shows elsewhere.  On
+a page that lacks the host's main slot, the page's own once-opened elements serve as template.
+Within the main slot, a template element that holds nothing but template texts is furniture, unless
+such texts are the larger part of the slot, as on hosts of near copies, where recurrence tells
+nothing.
+
+What the template cannot tell apart is decided by marks: blocks that are mostly links, and
+elements that their name or a whole word of class, id or role calls a menu, header, footer,
+sidebar, notice, advert, form or comment.
 
 The vectors are never gathered: a token's vector is the sum, over pages, of a hash of page and
 count, so one aggregate on (host, token) gives it and a second one, on (host, vector), the classes.
-Copies of a page count once.  What a host keeps is a list of frequent tokens; it is joined to the
-pages, by broadcast while hosts are fewer than ``HOSTS``.
+Copies of a page count once.  A host keeps only tokens that stand on half of its pages, so at most
+twice as many as an average page has.  Templates are joined to the pages, by broadcast while they
+hold fewer than ``BROADCAST_IDS`` tokens together.
 
 Defined results: null or empty html has no text; a null url is a host of its own, the empty one;
 repeated rows get equal texts; an empty table gives an empty result; other columns are ignored.
@@ -33,17 +42,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearloom.llm.common import checkpointed
+from nearloom.llm.common import BROADCAST_IDS, Scratch, checkpointed
 from nearloom.llm.html import Block, read
 from nearloom.llm.urlfilter import host_of
 
-CLASS, SUPPORT, HELD, TEMPLATE_TEXT, DIFFERENT = 2, 0.5, 0.6, 0.8, 8
-HOSTS = 100_000
+CLASS, SUPPORT, HELD, TEMPLATE_TEXT, LEAST = 2, 0.5, 0.6, 0.8, 3
 
 _DROP = frozenset("head nav header footer aside form button menu dialog fieldset select".split())
 _CALLED = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navigation navbar menu breadcrumb breadcrumbs sidebar widget widgets related share sharing social cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login search comment comments reply replies respond disqus footer header masthead copyright pagination pager toolbar contentinfo complementary site-header site-footer page-header page-footer site-nav main-nav cookie-banner cookie-notice cookie-consent comment-list comments-area related-posts share-buttons social-share ad-container".split())
 _BOX = re.compile(r"(article|main)\b")
 _HEADING = re.compile(r"h[1-6]\b")
+_PHRASE = re.compile(r"(p|h[1-6]|li|td|pre|blockquote)\b")
 
 
 def _id(*parts: str) -> int:
@@ -83,69 +92,99 @@ def unwanted(path: tuple[str, ...], most: frozenset = frozenset()) -> bool:
     return False
 
 
+_KINDS = "host string, page long, token long, text boolean, n long, path string, chars long, linked long"
+
+
+def tokens_of(blocks: list[Block], opened: dict) -> list[tuple]:
+    """(token, whether a text, how often, path, running characters, those in links) of one page."""
+    chars: Counter = Counter()
+    linked: Counter = Counter()
+    texts: dict = {}
+    for b in blocks:
+        chars[b.path] += len(b.text)
+        linked[b.path] += b.linked
+        name = text_token(b)
+        old = texts.get(name, (0, 0, 0, 0))
+        texts[name] = (old[0] + 1, "\n".join(b.path), old[2] + len(b.text), old[3] + b.linked)
+    rows = [(_id("path", *p), False, opened.get(p, 1), "\n".join(p), chars[p], linked[p]) for p in opened.keys() | chars.keys()]
+    return rows + [(name, True, *t) for name, t in texts.items()]
+
+
+def text_token(b: Block) -> int:
+    return _id("text", *b.path, b.text)
+
+
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each page its tokens; for paths, also the characters of running text and of links there."""
-    schema = pa.schema([("host", pa.string()), ("page", pa.int64()), ("token", pa.int64()), ("n", pa.int64()), ("path", pa.string()), ("chars", pa.int64()), ("linked", pa.int64())])
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
+    schema = pa.schema(list(zip([c.split()[0] for c in _KINDS.split(", ")], kinds, strict=True)))
     for batch in batches:
         rows = []
         for host, html in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             html = html.as_py() or ""
             page = _id(html)
-            blocks, opened = read(html)
-            chars: Counter = Counter()
-            linked: Counter = Counter()
-            texts: Counter = Counter()
-            for b in blocks:
-                chars[b.path] += len(b.text)
-                linked[b.path] += b.linked
-                texts[_id("text", *b.path, b.text)] += 1
-            rows += [(host, page, _id("path", *p), opened.get(p, 1), "\n".join(p), chars[p], linked[p]) for p in opened.keys() | chars.keys()]
-            rows += [(host, page, t, n, None, 0, 0) for t, n in texts.items()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 7, schema, strict=True)], schema=schema)
+            rows += [(host, page, *t) for t in tokens_of(*read(html))]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * len(kinds), schema, strict=True)], schema=schema)
 
 
 class Template:
-    """A host's valid tokens, and from them the element that holds its main text."""
+    """The elements and texts of a host's valid classes, and the element that is the main slot.
 
-    def __init__(self, tokens: list, pages: int) -> None:
-        self.paths = {tuple(t["path"].split("\n")) if t["path"] else (): (t["chars"], t["linked"]) for t in tokens if t["path"] is not None}
-        self.texts = {t["token"] for t in tokens if t["path"] is None and t["n"] >= TEMPLATE_TEXT * pages} if pages >= DIFFERENT else set()
+    ``tokens``: of paths, those that stand on half of the pages (``valid`` where their class is),
+    and valid texts.
+    """
+
+    def __init__(self, tokens: list) -> None:
+        split = lambda t: tuple(t["path"].split("\n")) if t["path"] else ()
+        self.paths = {split(t) for t in tokens if not t["text"] and t["valid"]}
+        self.texts = {t["token"] for t in tokens if t["text"]}
         self.known: dict[tuple, tuple] = {}
-        self.main = self._main()
+        said: Counter = Counter()  # running characters that vary, by path
+        for t in tokens:
+            said[split(t)] += (t["chars"] - t["linked"]) * (-1 if t["text"] else 1)
+        self.main = self._main({p: max(0, n) for p, n in said.items()})
 
-    def slot(self, path: tuple[str, ...]) -> tuple[str, ...]:
-        """The template elements around a path: the slot that it is in."""
+    def slot(self, path: tuple[str, ...]) -> tuple[tuple[str, ...], ...]:
+        """The template elements around a path, the outermost first."""
         if path not in self.known:
             if len(self.known) > 10_000:
                 self.known.clear()
-            self.known[path] = tuple(path[i] for i in range(len(path)) if path[: i + 1] in self.paths)
+            self.known[path] = tuple(path[: i + 1] for i in range(len(path)) if path[: i + 1] in self.paths)
         return self.known[path]
 
-    def _main(self) -> tuple[str, ...] | None:
+    def _main(self, said: dict) -> tuple[str, ...] | None:
+        most = mostly(said.items())
         held: Counter = Counter()
         total = 0
-        most = mostly((p, chars - linked) for p, (chars, linked) in self.paths.items())
-        for path, (chars, linked) in self.paths.items():
-            if 2 * linked <= chars and not unwanted(path, most):
-                total += chars
-                slot = self.slot(path)
-                for i in range(len(slot) + 1):
-                    held[slot[:i]] += chars
-        fit = [p for p, n in held.items() if n >= HELD * total and not (p and re.match(r"(p|h[1-6]|li|td|pre|blockquote)\b", p[-1]))]
-        return max(fit, key=lambda p: (len(p), held[p]), default=None) if total else None
-
-
-def main_text(blocks: list[Block], template: Template) -> str:
+        for path, n in said.items():
+            if n and not unwanted(path, most):
+                total += n
+                for element in self.slot(path):
+                    held[element] += n
+        fit = [p for p, n in held.items() if n >= HELD * total and not _PHRASE.match(p[-1])]
+        return max(fit, key=lambda p: (bool(_BOX.match(p[-1])), len(p), held[p]), default=None)
+
+
+def own_template(blocks: list[Block], opened: dict) -> Template:
+    """What a page alone says: elements opened once are its template."""
+    return Template([{"token": t, "text": False, "path": path, "chars": chars, "linked": linked, "valid": n == 1} for t, text, n, path, chars, linked in tokens_of(blocks, opened) if not text])
+
+
+def main_text(blocks: list[Block], opened: dict, template: Template) -> str:
+    if template.main is None or template.main not in opened:
+        texts = template.texts
+        template = own_template(blocks, opened)
+        template.texts = texts
     most = mostly((b.path, len(b.text) - b.linked) for b in blocks)
-    own = [b for b in blocks if not unwanted(b.path, most)]
-    boxes = [b for b in own if any(_BOX.match(k) for k in b.path)]
-    main = template.main
-    running = lambda of: sum(len(b.text) - b.linked for b in of)
-    # a mark is believed where the template agrees or is missing, or where most of the page's text is marked: teasers are marked too
-    if boxes and (main is None or any(_BOX.match(k) for k in main) or 2 * running(boxes) >= running(own)):
-        return "\n\n".join(b.text for b in boxes)
-    inside = [b for b in own if main is not None and template.slot(b.path)[: len(main)] == main]
-    return "\n\n".join(b.text for b in inside or own if 2 * b.linked <= len(b.text) and _id("text", *b.path, b.text) not in template.texts)
+    own = [b for b in blocks if not unwanted(b.path, most) and 2 * b.linked <= len(b.text)]
+    inside = lambda b: template.main is None or template.main in template.slot(b.path)
+    fixed = {id(b) for b in own if text_token(b) in template.texts}
+    held = [b for b in own if inside(b)]
+    box = lambda b: template.slot(b.path)[-1:]
+    varied = {box(b) for b in held if id(b) not in fixed} | {(template.main,)}
+    if 2 * sum(len(b.text) for b in held if id(b) in fixed) > sum(len(b.text) for b in held):
+        varied |= {box(b) for b in held}
+    title = lambda b: b.path[-1:] and b.path[-1].partition("[")[0] == "h1" and id(b) not in fixed
+    return "\n\n".join(b.text for b in own if (box(b) in varied if inside(b) else title(b)))
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,29 +196,32 @@ def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if host not in known:
                 if len(known) > 1000:
                     known.clear()
-                known[host] = Template(batch.column(4)[i].as_py() or [], batch.column(5)[i].as_py() or 0)
-            texts.append(main_text(read(html.as_py() or "")[0], known[host]))
+                known[host] = Template(batch.column(4)[i].as_py() or [])
+            texts.append(main_text(*read(html.as_py() or ""), known[host]))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
 
-def templates(pages: DataFrame) -> DataFrame:
-    """``host, tokens, pages``: each host's valid tokens; ``pages``: host and html."""
-    tokens = pages.mapInArrow(_tokens, "host string, page long, token long, n long, path string, chars long, linked long")
-    once = tokens.groupBy("host", "page", "token").agg(F.max("n").alias("n"), F.max("path").alias("path"), F.max("chars").alias("chars"), F.max("linked").alias("linked"))
+def templates(pages: DataFrame, scratch: Scratch) -> DataFrame:
+    """``host, tokens``: each host's frequent paths and valid texts; ``pages``: host and html."""
+    tokens = pages.mapInArrow(_tokens, _KINDS)
+    first = [F.max(c).alias(c) for c in ("text", "n", "path", "chars", "linked")]
+    once = tokens.groupBy("host", "page", "token").agg(*first)
     vector = F.sum(F.xxhash64("page", "n").cast("decimal(20,0)"))
-    vectors = once.groupBy("host", "token").agg(vector.alias("vector"), F.count(F.lit(1)).alias("support"), F.max("path").alias("path"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"))
-    vectors = checkpointed(vectors)
-    size = vectors.groupBy("host").agg(F.max("support").alias("pages"))  # the root element stands on all
-    frequent = vectors.join(size, "host").where(F.col("support") >= SUPPORT * F.col("pages"))
+    vectors = scratch.put(once.groupBy("host", "token").agg(vector.alias("vector"), F.count(F.lit(1)).alias("support"), F.max("text").alias("text"), F.max("path").alias("path"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked")))
+    size = scratch.put(vectors.groupBy("host").agg(F.max("support").alias("pages")))  # the root element stands on all
+    few = F.broadcast(size) if size.count() <= BROADCAST_IDS else size
+    frequent = scratch.put(vectors.join(few, "host").where(F.col("support") >= SUPPORT * F.col("pages")))
     classes = frequent.groupBy("host", "vector").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") >= CLASS)
-    # paths of repeated elements (paragraphs, list items) have vectors of their own and nest inside
-    valid = frequent.join(classes.withColumn("valid", F.lit(True)), ["host", "vector"], "left").where("valid or path is not null")
-    return valid.groupBy("host", "pages").agg(F.collect_list(F.struct("token", F.col("support").alias("n"), "path", "chars", "linked")).alias("tokens"))
+    valid = frequent.join(classes.withColumn("valid", F.lit(True)), ["host", "vector"], "left").withColumn("valid", F.coalesce("valid", F.lit(False)))
+    fixed = F.col("valid") & (F.col("support") >= TEMPLATE_TEXT * F.col("pages")) & (F.col("support") >= LEAST)
+    return valid.where(~F.col("text") | fixed).groupBy("host").agg(F.collect_list(F.struct("token", "text", "valid", "path", "chars", "linked")).alias("tokens"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """``page_id``, ``url`` and the main ``text`` of each row of ``pages`` (page_id, url, html)."""
     rows = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), "html")
-    found = checkpointed(templates(rows.select("host", "html")))
-    few = F.broadcast(found) if found.count() <= HOSTS else found
-    return rows.join(few, "host", "left").select("page_id", "url", "host", "html", "tokens", "pages").mapInArrow(_extracted, "page_id long, url string, text string")
+    with Scratch(pages.sparkSession) as scratch:
+        found = checkpointed(templates(rows.select("host", "html"), scratch))
+    held = found.agg(F.coalesce(F.sum(F.size("tokens")), F.lit(0))).first()[0]
+    few = F.broadcast(found) if held <= BROADCAST_IDS else found
+    return rows.join(few, "host", "left").select("page_id", "url", "host", "html", "tokens").mapInArrow(_extracted, "page_id long, url string, text string")

@@ -113,7 +113,7 @@ TEXT = " ".join(f"word{i}" for i in range(30))
     ],
 )
 def test_content_is_not_furniture(html, want):
-    assert template.main_text(read(html)[0], template.Template([], 0)).split("\n\n") == want
+    assert template.main_text(*read(html), template.Template([])).split("\n\n") == want
 
 
 def test_teasers_marked_as_articles_are_not_the_page(spark):
@@ -125,3 +125,37 @@ def test_teasers_marked_as_articles_are_not_the_page(spark):
     got = {r.page_id: r.text for r in template.extract(spark.createDataFrame(rows, PAGE)).collect()}
     for i in range(12):
         assert got[i] == "\n\n".join(" ".join(f"word{i}{j}{k}" for k in range(20)) for j in range(3))
+
+
+def test_template_alone_finds_the_article_among_neutral_boxes(spark, sf_dir):
+    """The table's pages with every telling name and class taken away: the article is known from the template."""
+    names = {"<article>": "<div>", "</article>": "</div>", "<nav>": "<div class=k1>", "</nav>": "</div>", "<footer>": "<div class=k2>", "</footer>": "</div>", 'class="ad"': "class=k3"}
+    rows, want = [], {}
+    for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect():
+        want[r.page_id] = [b.text for b in read(r.html[r.html.index("<article>") : r.html.index("</article>")])[0]]
+        html = r.html
+        for a, b in names.items():
+            html = html.replace(a, b)
+        rows.append((r.page_id, r.url, html))
+    found = hit = all_ = 0
+    for r in template.extract(spark.createDataFrame(rows, PAGE)).collect():
+        blocks = r.text.split("\n\n")
+        found, hit, all_ = found + len(blocks), hit + len([b for b in blocks if b in want[r.page_id]]), all_ + len(want[r.page_id])
+    assert hit >= 0.99 * found and hit >= 0.99 * all_
+
+
+def test_the_template_decides_against_what_a_page_alone_says(spark):
+    fixed = "".join(f"<p>{' '.join(f'rule{j}{k}' for k in range(40))}</p>" for j in range(4))  # more than the article, the same on all pages
+    own = lambda i: f"<p>{' '.join(f'w{i}x{k}' for k in range(20 + i))}</p>"
+    rows = [(i, "http://t.org/p", f"<html><body><div class=k1>{fixed}</div><div class=k2>{own(i)}<div class=k4>Send this to a friend</div></div></body></html>") for i in range(9)]
+    got = {r.page_id: r.text for r in template.extract(spark.createDataFrame(rows, PAGE)).collect()}
+    assert all(got[i] == " ".join(f"w{i}x{k}" for k in range(20 + i)) for i in range(9))
+    assert "rule00" in template.main_text(*read(rows[0][2]), template.Template([]))
+
+
+def test_hosts_of_near_copies_keep_their_text_and_deep_pages_end(spark):
+    same = [f"<p>{' '.join(f's{j}{k}' for k in range(20))}</p>" for j in range(5)]
+    rows = [(i, "http://c.org/p", f"<html><body><div>{''.join(same)}<p>only on page {i}</p></div></body></html>") for i in range(9)]
+    rows.append((100, "http://deep.org/", "<div>" * 20000 + "deep" + "</div>" * 20000 + "<p>end"))
+    got = {r.page_id: r.text for r in template.extract(spark.createDataFrame(rows, PAGE)).collect()}
+    assert all(len(got[i].split("\n\n")) == 6 for i in range(9)) and "deep" in got[100]
