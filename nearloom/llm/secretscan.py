@@ -1,11 +1,14 @@
-"""Secret scans: long runs of key-like characters, and a random forest that drops false positives.
+"""Secret scans: key-like runs and assigned values, and a random forest that drops false positives.
 
-A candidate is a run of at least 16 of ``A-Za-z0-9+/_=-`` with a digit in it.  What the forest
-sees of it: length, shares of character kinds, transitions between them, distinct characters,
-coverage by dictionary words, the words and signs beside it, and the path of its source.  The
-forest is trained in numpy on labelled findings (``labelled_findings`` makes a bounded set of them;
-others can be given) and becomes one SQL expression, so scanning uses built-in functions only:
-no Python on the executors, one pass, no shuffle.
+A candidate is a run of at least 16 of ``A-Za-z0-9+/_=-``, or whatever stands, without white space
+or quotes, where a value of at least 6 characters is assigned to a name that speaks of a secret.
+What the forest sees of it: length, shares of character kinds, transitions between them, distinct
+characters, coverage by dictionary words, the words and signs beside it, and the path of its
+source.  The forest is trained in numpy on labelled findings and becomes one SQL expression, so
+scanning uses built-in functions only: no Python on the executors, one pass, no shuffle.
+
+``labelled_findings`` makes a bounded set of findings, as the tables have none; ``fit`` takes real
+ones instead.
 
 Defined results: null and empty texts have no candidates; a null path counts as empty; every row
 gives one row, repeated or not; an empty table gives an empty result; other columns are ignored.
@@ -17,17 +20,20 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{16,}"
+_NAMED = r"(?:token|secret|passwo?r?d|pwd|api[_ -]?key|access[_ -]?key|private[_ -]?key|auth|bearer|credentials?|signing[_ -]?key)"
+_ASSIGNED = r"(?:=>|:=|[=:])\s{0,3}[\"'`]?"
+#: A long run; or, behind an assignment (looked for first, as it is cheap) to a telling name, any value.
+CANDIDATE = rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{16,}}|(?<=[=:>]\s{{0,3}}[\"'`]?)(?<=(?i:{_NAMED})[\"'`]?\s{{0,3}}{_ASSIGNED})[^\s\"'`=:>][^\s\"'`]{{5,}}"
 BESIDE = 48
 THRESHOLD = 0.5
-TREES, DEPTH, FINDINGS = 15, 5, 4000
+TREES, DEPTH, FINDINGS = 15, 7, 6000
 
 _WORDS = "about|after|again|also|address|and|app|auth|back|base|before|book|build|call|card|city|class|client|code|color|com|commit|config|count|country|create|data|date|default|document|east|end|error|event|example|file|first|for|from|function|get|group|have|header|high|home|house|http|image|index|info|input|item|key|last|line|link|list|local|long|main|make|many|message|method|name|new|north|number|object|order|page|part|path|people|phone|place|point|post|private|product|project|public|read|release|report|request|response|result|road|route|sample|school|search|server|service|set|small|some|south|state|street|string|system|table|test|text|that|the|this|time|title|token|type|update|user|value|version|view|water|week|west|with|word|work|world|www|year|your"
 _SECRET = r"(?i)(?:token|secret|passw(?:or)?d|passwd|pwd|api[_ -]?key|apikey|access[_ -]?key|auth|bearer|credential|private[_ -]?key|signing)[A-Za-z_ -]{0,12}[\"'`]?\s*(?:[=:]|=>|:=|is)?\s*[\"'`]?$"
 _INNOCENT = r"(?i)(?:commit|sha-?\d*|md5|checksum|digest|etag|uuid|guid|isbn|issn|card|phone|tel|fax|iban|account|order|invoice|tracking|example|sample|placeholder|dummy|rev|revision|version|parent|tree|blob)\W{0,6}$"
 _TEST_PATH = r"(?i)(?:^|[/_.-])(?:tests?|examples?|samples?|fixtures?|mocks?|docs?)(?:[/_.-]|$)"
 
-NAMES = ("length", "digits", "lower", "upper", "signs", "hex", "transitions", "distinct", "vowel_pairs", "dictionary", "secret_word", "innocent_word", "assigned", "quoted", "repeats", "test_path")
+NAMES = ("length", "digits", "lower", "upper", "signs", "hex", "transitions", "distinct", "vowel_pairs", "dictionary", "secret_word", "innocent_word", "assigned", "quoted", "repeats", "test_path", "other")
 
 
 def features(run: Column, left: Column, right: Column, path: Column) -> list[Column]:
@@ -53,57 +59,59 @@ def features(run: Column, left: Column, right: Column, path: Column) -> list[Col
         flag(left.rlike(r"[\"'`]$") & right.rlike(r"^[\"'`]")),
         pairs(r"(.)\1"),
         flag(path.rlike(_TEST_PATH)),
+        F.char_length(F.regexp_replace(run, "[A-Za-z0-9+/_=-]", "")) / n,
     ]
 
 
-def labelled_findings(n: int = FINDINGS, seed: int = 11) -> list[tuple[str, str, str, str, int]]:
-    """(run, left, right, path, label): made-up keys, and what is often taken for them."""
+def labelled_findings(n: int = FINDINGS, seed: int = 11, kinds: list | None = None) -> list[tuple[str, str, str, str, int]]:
+    """(run, left, right, path, label): made-up keys, and what is often taken for them; ``kinds`` gets their names."""
     g = np.random.default_rng(seed)
     pick = lambda of: of[int(g.integers(len(of)))]
     chars = lambda of, k: "".join(pick(of) for _ in range(k))
+    some = lambda a, b: int(g.integers(a, b))
     words = [w for w in _WORDS.split("|") if len(w) > 2]
     hexes, letters, digits = "0123456789abcdef", "abcdefghijklmnopqrstuvwxyz", "0123456789"
-    base = letters + letters.upper() + digits
-    vowels, consonants = "aeiou", "bcdfghklmnprst"
-    prose = lambda: " ".join("".join(pick(consonants) + pick(vowels) for _ in range(int(g.integers(1, 5)))) for _ in range(4)) + " "
+    both, base = letters + letters.upper(), letters + letters.upper() + digits
+    syllable = lambda: pick("bcdfghklmnprst") + pick("aeiou") + pick(["", "", "n", "r", "s"])
+    prose = lambda: " ".join("".join(syllable() for _ in range(some(1, 5))) for _ in range(4)) + " "
+    keys = {
+        "hex": lambda: chars(hexes, pick([32, 40, 64])),
+        "upper hex": lambda: chars(hexes, pick([32, 40])).upper(),
+        "mixed": lambda: chars(base, some(20, 64)),
+        "base64": lambda: chars(base + "+/", pick([40, 44, 88])) + pick(["", "=", "=="]),
+        "prefixed": lambda: pick(["key_", "sk_", "pat-", "ghx_"]) + chars(base, some(20, 40)),
+        "letters only": lambda: chars(both, some(16, 48)),
+        "short password": lambda: "".join(g.permutation(list(pick(digits) + pick("!@#$%&*?^~+.,;") + pick(letters.upper()) + chars(base + "!@#$%&*?", some(5, 12))))),
+    }
+    names = ["token", "secret", "password", "api_key", "API-KEY", "auth", "access_key", "private_key", "TOKEN", "client_secret", "db_password", "pwd"]
+    plain = ["required", "undefined", "username", "disabled", "optional", "function", "changeme", "password", "refresh_token", "getToken()", "os.environ", "process.env.TOKEN", "${SECRET}", "<your-token>", "********", "settings.AUTH", "boolean", "string;", "null);", "request.user"]
+    others = {
+        "number": lambda: (pick(["", "card ", "order ", "tel: ", "account: "]), chars(digits, some(16, 20))),
+        "checksum": lambda: (pick(["commit ", "sha256: ", "md5 = ", "checksum: ", 'etag: "', "revision "]), chars(hexes, pick([40, 64, 32]))),
+        "slug": lambda: ("", pick(["-", "_", "/"]).join([pick(words) for _ in range(some(3, 6))] + [chars(digits, some(1, 5))])),
+        "uuid": lambda: (pick(["uuid ", "id: ", ""]), "-".join(chars(hexes, k) for k in (8, 4, 4, 4, 12))),
+        "word": lambda: ("", "".join(syllable() for _ in range(some(8, 14))) + pick(["", "", chars(digits, some(1, 3))])),
+        "filler": lambda: (pick(['token = "', "password: ", "api_key=", ""]), pick(["x", "X", "0", "1", "a", "="]) * some(16, 60) + pick(["", "1"])),
+        "time": lambda: ("", f"{some(1990, 2030)}-{some(1, 13):02d}-{some(1, 29):02d}" + pick(["T", "_", "-"]) + chars(digits, 6)),
+        "path": lambda: (pick(['path = "', "url: ", ""]), "/".join([pick(words) for _ in range(4)]) + f"/v{some(1, 9)}/" + pick(words)),
+        "placeholder": lambda: (pick(['token = "', 'secret: "', "api_key="]), "your_" + pick(["token", "secret", "api_key", "password"]) + pick(["_here_", "_example_", "_goes_here_"]) + pick(["", chars(digits, 2)])),
+        "plain value": lambda: (pick(names) + pick([" = ", "=", ": "]), pick([lambda: pick(plain), lambda: pick(words) + pick(words), lambda: "".join(syllable() for _ in range(some(3, 6)))])()),
+    }
     out = []
     for i in range(n):
-        left, right, path, label = prose(), " " + prose(), f"src{int(g.integers(40))}", int(i % 2 == 0)
+        left, right, path, label = prose(), " " + prose(), f"src{some(0, 40)}", int(i % 2 == 0)
+        kind = pick(list(keys if label else others))
         if label:
-            run = pick([lambda: chars(hexes, pick([32, 40, 64])), lambda: chars(hexes, pick([32, 40])).upper(), lambda: chars(base, int(g.integers(20, 64))), lambda: chars(base + "+/", pick([40, 44, 88])) + pick(["", "=", "=="]), lambda: pick(["key_", "sk_", "pat-", "ghx_"]) + chars(base, int(g.integers(20, 40)))])()
-            if not any(c.isdigit() for c in run):
-                run = run[:-1] + "7"
-            name = pick(["token", "secret", "password", "api_key", "API-KEY", "auth", "access_key", "Bearer", "private_key", "TOKEN", "client_secret"])
-            quote = pick(['"', "'", "", '"'])
-            left += name + pick([" = ", "=", ": ", " := ", " "]) + quote
+            run, quote, short = keys[kind](), pick(['"', "'", "", '"']), kind == "short password"
+            left += pick(names if short else [*names, "Bearer"]) + pick([" = ", "=", ": ", ":="] if short else [" = ", "=", ": ", " := ", " "]) + quote
             right = quote + right
         else:
-            kind = int(g.integers(9))
-            if kind == 0:
-                run = chars(digits, int(g.integers(16, 20)))
-                left += pick(["", "card ", "order ", "tel: ", "account: "])
-            elif kind == 1:
-                run = chars(hexes, pick([40, 64, 32]))
-                left += pick(["commit ", "sha256: ", "md5 = ", "checksum: ", "etag: \"", "revision "])
-            elif kind == 2:
-                run = pick(["-", "_", "/"]).join([pick(words) for _ in range(int(g.integers(3, 6)))] + [chars(digits, int(g.integers(1, 5)))])
-            elif kind == 3:
-                run = "-".join(chars(hexes, k) for k in (8, 4, 4, 4, 12))
-                left += pick(["uuid ", "id: ", ""])
-            elif kind == 4:
-                run = "".join(pick(consonants) + pick(vowels) for _ in range(int(g.integers(8, 16)))) + chars(digits, int(g.integers(1, 3)))
-            elif kind == 5:
-                run = pick(["x", "X", "0", "1", "a"]) * int(g.integers(16, 40)) + "1"
-                left += pick(["token = \"", "password: ", "api_key="])
-            elif kind == 6:
-                run = f"{int(g.integers(1990, 2030))}-{int(g.integers(1, 13)):02d}-{int(g.integers(1, 29)):02d}" + pick(["T", "_", "-"]) + chars(digits, 6)
-            elif kind == 7:
-                run = "/".join([pick(words) for _ in range(4)]) + f"/v{int(g.integers(1, 9))}/" + pick(words)
-                left += pick(["path = \"", "url: ", ""])
-            else:
-                run = "your_" + pick(["token", "secret", "api_key", "password"]) + pick(["_here_", "_example_", "_goes_here_"]) + chars(digits, 2)
-                left += pick(["token = \"", "secret: \"", "api_key="])
-                path = pick([path, "docs/readme", "tests/fixtures"])
+            before, run = others[kind]()
+            left += before
+            right = before[-1] + right if before[-1:] in ("\"", "'") else right
+            path = pick([path, "docs/readme", "tests/fixtures"]) if kind == "placeholder" else path
+        if kinds is not None:
+            kinds.append(kind)
         out.append((run, left[-BESIDE:], right[:BESIDE], path, label))
     return out
 
