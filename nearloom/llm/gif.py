@@ -7,6 +7,7 @@ codes have passed since the last clear code, so whole runs of codes are unpacked
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -140,18 +141,32 @@ def _blocks(data: bytes, at: int) -> tuple[bytes, int]:
     return b"".join(parts), at + 1
 
 
+#: A canvas or an image of more pixels (256 MB) is refused before any memory is taken for it.
+MOST_PIXELS = 1 << 26
+
+
+def _bounded(w: int, h: int) -> None:
+    if w * h > MOST_PIXELS:
+        raise ValueError(f"{w} x {h} pixels are more than {MOST_PIXELS}")
+
+
 def decode(data: bytes) -> list[Frame]:
     """All frames, each with the whole canvas as it shows after that image was drawn."""
+    return list(frames(data))
+
+
+def frames(data: bytes) -> Iterator[Frame]:
+    """The frames of ``decode``, one at a time; an error comes where the stream breaks."""
     if data[:6] not in (b"GIF87a", b"GIF89a"):
         raise ValueError("no GIF header")
     w, h = int.from_bytes(data[6:8], "little"), int.from_bytes(data[8:10], "little")
+    _bounded(w, h)
     at, shared = 13, None
     if data[10] & 0x80:
         n = 2 << (data[10] & 7)
         shared = np.frombuffer(data, np.uint8, 3 * n, at).reshape(-1, 3)
         at += 3 * n
     canvas = np.zeros((h, w), np.uint32)  # RGBA, a pixel in one number
-    frames: list[Frame] = []
     delay, disposal, transparent = 0, 0, None
     while at < len(data) and data[at] != 0x3B:
         if data[at] == 0x21:
@@ -164,6 +179,7 @@ def decode(data: bytes) -> list[Frame]:
         if data[at] != 0x2C:
             raise ValueError("an unknown block")
         x, y, fw, fh = (int.from_bytes(data[at + i : at + i + 2], "little") for i in (1, 3, 5, 7))
+        _bounded(fw, fh)
         flags, palette = data[at + 9], shared
         at += 10
         if flags & 0x80:
@@ -195,13 +211,12 @@ def decode(data: bytes) -> list[Frame]:
             part[:] = colours[index]
         else:
             part[shown] = colours[index[shown]]
-        frames.append(Frame(x, y, fw, fh, delay, disposal, transparent, canvas.copy().view(np.uint8).reshape(h, w, 4)))
+        yield Frame(x, y, fw, fh, delay, disposal, transparent, canvas.copy().view(np.uint8).reshape(h, w, 4))
         if disposal == 2:
             part[:] = 0
         elif before is not None:
             canvas = before
         delay, disposal, transparent = 0, 0, None
-    return frames
 
 
 def _sub_blocks(stream: bytes) -> bytes:
@@ -223,7 +238,7 @@ def encode(payload: bytes, width: int = 64, rows: int = 1024, delay: int = 4) ->
 
 def stored_samples(data: bytes) -> bytes:
     """The samples of a stream made by ``encode``, read back through palette and canvas."""
-    return b"".join(f.canvas[f.top : f.top + f.height, f.left : f.left + f.width, 0].tobytes() for f in decode(data))
+    return b"".join(f.canvas[f.top : f.top + f.height, f.left : f.left + f.width, 0].tobytes() for f in frames(data))
 
 
 def histogram(canvas: np.ndarray, bins: int = 4) -> list[int]:

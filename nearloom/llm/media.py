@@ -1,7 +1,7 @@
 """Media columns: GIF streams as timed frames with colour histograms, and texts stored as GIFs.
 
-Defined results: a null or broken stream has no frames (``gif_frames``: ``error`` says why, in one
-row without a frame number); a null or empty text is stored as 64 zero bytes; rows that repeat
+Defined results: a null stream has no frames, a broken one those before the break (``gif_frames``:
+``error`` says why, in one row without a frame number); so has one whose canvas is too large; a null or empty text is stored as 64 zero bytes; rows that repeat
 are treated each by itself; an empty table gives an empty result.  Other columns are ignored.
 """
 
@@ -32,15 +32,14 @@ def gif_frames(df: DataFrame, id_col: str, gif_col: str) -> DataFrame:
         schema = pa.schema(list(zip(names, types, strict=True)))
         for batch in batches:
             for key, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                rows, start = [], 0
+                one = lambda *row: pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], schema=schema)
+                start = 0
                 try:
-                    for i, frame in enumerate(gif.decode(data.as_py() or b"")):
-                        rows.append((key, i, start, 10 * frame.delay, frame.canvas.shape[1], frame.canvas.shape[0], frame.canvas.tobytes(), gif.histogram(frame.canvas), None))
+                    for i, frame in enumerate(gif.frames(data.as_py() or b"")):
+                        yield one(key, i, start, 10 * frame.delay, frame.canvas.shape[1], frame.canvas.shape[0], frame.canvas.tobytes(), gif.histogram(frame.canvas), None)
                         start += 10 * frame.delay
                 except (ValueError, IndexError) as e:
-                    rows = [(key, None, None, None, None, None, None, None, str(e))]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], schema=schema)
+                    yield one(key, None, None, None, None, None, None, None, str(e))
 
     return df.select(F.col(f"`{id_col}`").cast("long"), F.col(f"`{gif_col}`")).mapInArrow(f, _FRAMES)
 

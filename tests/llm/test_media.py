@@ -45,6 +45,16 @@ def test_late_clear_and_broken_streams():
     assert data.startswith(gif.lzw_decode(cut, 8, len(data)))
 
 
+def test_sizes_are_bounded_and_frames_come_one_by_one():
+    huge = b"GIF89a" + b"\xff\xff\xff\xff" + b"\0\0\0"
+    with pytest.raises(ValueError, match="pixels"):
+        gif.decode(huge)
+    stream = gif.frames(gif.encode(b"ab" * 32 * 3, rows=1)[:-1] + b"junk")
+    assert [next(stream).canvas.shape for _ in range(3)] == [(1, 64, 4)] * 3
+    with pytest.raises((ValueError, IndexError)):
+        list(stream)
+
+
 def test_columns(spark, docs, awkward):
     by = {}
     for r in media.texts_as_gif(docs).collect():
