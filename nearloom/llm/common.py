@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -64,6 +67,12 @@ class Scratch:
 
     def __exit__(self, *_) -> None:
         self._delete(self.folder)
+        self.tidy()
+
+    def tidy(self) -> None:
+        """Shuffle files that nothing reads any more go when the driver collects its garbage: ask for it."""
+        gc.collect()
+        self.spark._jvm.System.gc()
 
     def put(self, df: DataFrame) -> DataFrame:
         path, self.made = f"{self.folder}/{self.made}", self.made + 1
@@ -108,5 +117,22 @@ def binary_list(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def release() -> None:
+    """Give memory that Python has freed back to the machine; workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def releasing(f: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``f`` for ``mapInArrow``, with ``release`` at the end of each task."""
+
+    def g(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from f(batches)
+        release()
+
+    return g
+
+
 def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
-    return df.mapInArrow(f, schema)
+    return df.mapInArrow(releasing(f), schema)

@@ -17,6 +17,7 @@ WORDS = 48  # words of a window
 STRIDE = 32
 BUCKETS = 8192
 H = 8  # states of each direction
+PART = 1 << 19  # bytes hashed at once; also units scored at once in training, by an eighth
 
 _WORD_BYTE = np.zeros(256, bool)
 _WORD_BYTE[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
@@ -36,9 +37,17 @@ def units(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
 
 
 def unit_hashes(buffer: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    up, down = powers(len(buffer) + 1)
-    sums = prefix_hashes(buffer, up)
-    return mix((sums[starts + lengths] - sums[starts]) * down[starts])
+    """Hashes of units that lie in order, a part of the buffer at a time."""
+    out, a = np.empty(len(starts), np.uint64), 0
+    while a < len(starts):
+        b = max(a + 1, int(np.searchsorted(starts, starts[a] + PART)))
+        low, s, n = starts[a], starts[a:b] - starts[a], lengths[a:b]
+        part = buffer[low : low + s[-1] + n[-1]]
+        up, down = powers(len(part) + 1)
+        sums = prefix_hashes(part, up)
+        out[a:b] = mix((sums[s + n] - sums[s]) * down[s])
+        a = b
+    return out
 
 
 def windows(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -152,7 +161,7 @@ def word_vectors(w: dict, buffer: np.ndarray, starts: np.ndarray, lengths: np.nd
 class WordTable:
     """What the word level takes from each distinct word, kept between batches."""
 
-    def __init__(self, w: dict, most: int = 400_000) -> None:
+    def __init__(self, w: dict, most: int = 150_000) -> None:
         self.w, self.most = w, most
         self.wx = np.concatenate([w["wfx"], w["wbx"]], 1)
         self.wb = np.concatenate([w["wfb"], w["wbb"]])
@@ -190,7 +199,7 @@ def _pool(w: dict, states: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np
     return pooled @ w["out"] + w["bias"], a, pooled
 
 
-def window_logits(table: WordTable, row: np.ndarray, first: np.ndarray, length: np.ndarray, block: int = 2048) -> np.ndarray:
+def window_logits(table: WordTable, row: np.ndarray, first: np.ndarray, length: np.ndarray, block: int = 1024) -> np.ndarray:
     w, out = table.w, np.empty(len(first), np.float32)
     row = np.concatenate([row, [0]])
     t = np.arange(WORDS)[:, None]
@@ -253,7 +262,7 @@ def step(w: dict, units_of: tuple, first: np.ndarray, length: np.ndarray, y: np.
     return loss, g
 
 
-def train(texts: list[bytes], labels: np.ndarray, steps: int = 600, batch: int = 128, rate: float = 0.025, seed: int = 7, refresh: int = 60) -> dict[str, np.ndarray]:
+def train(texts: list[bytes], labels: np.ndarray, steps: int = 400, batch: int = 128, rate: float = 0.025, seed: int = 7, refresh: int = 60) -> dict[str, np.ndarray]:
     """Weights learned from whole texts with a label each; a third of each batch is positive.
 
     A label holds for a text, not for each of its windows.  So every ``refresh`` steps all windows
@@ -267,6 +276,9 @@ def train(texts: list[bytes], labels: np.ndarray, steps: int = 600, batch: int =
     at = np.searchsorted(text, np.arange(len(texts) + 1))
     own = np.diff(at)
     chance = np.repeat(1 / own, own)
+    upto_units = np.cumsum([0, *counts])
+    cuts = np.unique(np.searchsorted(upto_units, [*range(0, upto_units[-1], PART // 8), upto_units[-1]])).tolist()
+    cuts = [*dict.fromkeys([0, *cuts, len(texts)])]
     y = np.asarray(labels, np.float32)[text]
     positive, negative, n = np.flatnonzero(np.asarray(labels) == 1), np.flatnonzero(y == 0), batch // 3
     mean = {k: np.zeros_like(v) for k, v in w.items()}
@@ -274,7 +286,11 @@ def train(texts: list[bytes], labels: np.ndarray, steps: int = 600, batch: int =
     for done in range(1, steps + 1):
         if done % refresh == 0:
             table = WordTable(w)
-            logit = window_logits(table, table.lookup(buffer, starts, lengths), first, length).astype(np.float64)
+            logit = np.empty(len(first))
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                u, v, own_windows = upto_units[a], upto_units[b], slice(at[a], at[b])
+                row = table.lookup(buffer, starts[u:v], lengths[u:v])
+                logit[own_windows] = window_logits(table, row, first[own_windows] - u, length[own_windows])
             likely = np.exp(np.clip(logit - np.repeat(np.maximum.reduceat(logit, at[:-1]), own), -30, 0) * min(2.0, 4 * done / steps))
             chance = likely / np.repeat(np.add.reduceat(likely, at[:-1]), own)
             del table

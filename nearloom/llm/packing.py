@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from nearloom.llm.common import BROADCAST_IDS, checkpointed
+from nearloom.llm.common import BROADCAST_IDS, checkpointed, releasing
 from nearloom.llm.tokens import Encoder
 
 WINDOW = 1024
@@ -160,7 +160,7 @@ def pieces(docs: DataFrame, tokenizer_path: str | None = None, window: int = WIN
                     seen[end - start] += 1
             yield pa.RecordBatch.from_arrays([*[pa.array(x, pa.int64()) for x in (ids, starts, lengths, sums, totals)], pa.array([part] * len(ids), pa.int64()), pa.array(nths, pa.int64())], names=[*_NAMES, "part", "nth"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, f"{_PIECES}, part long, nth long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(releasing(cut), f"{_PIECES}, part long, nth long")
 
 
 def pack(docs: DataFrame, tokenizer_path: str | None = None, window: int = WINDOW) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from nearloom.llm import gru
-from nearloom.llm.common import FLUSH_BYTES, binary_list, checkpointed, joined_row, split_row
+from nearloom.llm.common import FLUSH_BYTES, binary_list, checkpointed, joined_row, release, releasing, split_row
 
 POSITIVE, NEGATIVE = 1500, 2500
 THRESHOLD = 0.3
@@ -46,7 +46,7 @@ def features(table: gru.WordTable, texts: list[bytes]) -> np.ndarray:
     return np.stack([np.maximum.reduceat(logit, at), np.log(p / (1 - p))], 1)
 
 
-def _slices(batch: pa.RecordBatch, size: int = FLUSH_BYTES // 4) -> Iterator[pa.RecordBatch]:
+def _slices(batch: pa.RecordBatch, size: int = FLUSH_BYTES // 8) -> Iterator[pa.RecordBatch]:
     step = max(1, batch.num_rows * size // max(1, batch.nbytes))
     for at in range(0, batch.num_rows, step):
         yield batch.slice(at, step)
@@ -84,12 +84,15 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict | None:
     for h in (0, 1):  # each half is judged by what the other has taught
         train, judge = np.flatnonzero(half != h), np.flatnonzero(half == h)
         if len(set(y[train].tolist())) == 2 and len(judge):
-            words = gru.WordTable(gru.train([texts[i] for i in train], y[train], steps=300))
+            words = gru.WordTable(gru.train([texts[i] for i in train], y[train], steps=200))
             for a in range(0, len(judge), 64):
                 x[judge[a : a + 64]] = features(words, [texts[i] for i in judge[a : a + 64]])
     weight = np.where(y > 0, share[1] / y.sum(), share[0] / (1 - y).sum())
     head = _logistic(x, y, weight * len(y) / weight.sum())
-    return {"words": docs.sparkSession.sparkContext.broadcast(gru.train(texts, y)), "head": head}
+    weights = gru.train(texts, y)
+    del texts
+    release()
+    return {"words": docs.sparkSession.sparkContext.broadcast(weights), "head": head}
 
 
 def score(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -106,6 +109,6 @@ def score(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=["__text", "__rest", "__score", "__predicted"])
 
     schema = T.StructType([T.StructField("__text", T.StringType()), T.StructField("__rest", rows.schema["__rest"].dataType), T.StructField("__score", T.DoubleType()), T.StructField("__predicted", T.IntegerType())])
-    done = rows.select("__text", "__rest").mapInArrow(f, schema)
+    done = rows.select("__text", "__rest").mapInArrow(releasing(f), schema)
     return joined_row(done, docs.columns, text_col, {"score": "__score", "predicted": "__predicted"})
 
