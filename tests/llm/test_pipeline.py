@@ -40,3 +40,23 @@ def test_queries_equal_their_sql(spark, sf_dir, duck):
 
     for name, sql in registry.oracle_sql().items():
         assert spark_rows(registry.queries()[name](spark, sf_dir)) == sql_rows(duck, sql), name
+
+
+def test_stages_on_awkward_rows(spark, sf_dir, docs, awkward):
+    item = table(spark, sf_dir, "benchmark").orderBy("item_id").first().text
+    more = [(None, f"before {item} after"), (None, None), (500, item), (500, "clean " + awkward[9][1][:200])]
+    rows = docs.select(*pipeline.COLUMNS, "h1").unionByName(spark.createDataFrame([(i, t, None, None, None, "x") for i, t in more], "doc_id long, text string, lang string, source string, n_chars long, h1 string"))
+    every = [*awkward, *more]
+    items = [(r.item_id, r.text) for r in table(spark, sf_dir, "benchmark").collect()]
+    clean = [r[:2] for r, c in zip(every, brute.contamination(every, items), strict=True) if not c[5]]
+    out = pipeline.drop_contaminated(spark, rows, sf_dir)
+    assert out.columns == pipeline.COLUMNS
+    assert sorted(map(repr, ((r.doc_id, r.text) for r in out.collect()))) == sorted(map(repr, clean))
+    groups = brute.components([(i, t) for i, t in every if i is not None], 5)
+    left = [(i, t) for i, t in every if i is None or groups[i] == i]
+    assert sorted(map(repr, ((r.doc_id, r.text) for r in pipeline.drop_near_copies(spark, rows, sf_dir).collect()))) == sorted(map(repr, left))
+    lines = pipeline.drop_lines(spark, rows, sf_dir)
+    assert lines.count() == len(every) and all(r.n_chars == len(r.text or "") for r in lines.collect())
+    assert pipeline.drop_toxic(spark, rows, sf_dir).columns == pipeline.COLUMNS
+    assert {r.doc_id for r in pipeline.pack(spark, rows, sf_dir).collect()} == {i for i, _ in every}
+    assert all(f(spark, rows.limit(0), sf_dir).count() == 0 for _, f in pipeline.STAGES)
