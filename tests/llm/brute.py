@@ -97,3 +97,20 @@ def components(rows, k, percent=80):
                         p, q = sorted((top(a), top(b)))
                         above[q] = p
     return {i: top(i) for i in ids}
+
+
+def passages(rows, words=51):
+    """Maximal runs of words that lie within strings of so many words which also start elsewhere."""
+    texts = [tuple(low(t).encode().split()) for _, t in rows]
+    seen = {}
+    for w in texts:
+        for s in range(len(w) - words + 1):
+            seen[w[s : s + words]] = seen.get(w[s : s + words], 0) + 1
+    out = []
+    for w in texts:
+        held = np.zeros(len(w) + 1, int)
+        for s in range(len(w) - words + 1):
+            if seen[w[s : s + words]] > 1:
+                held[s : s + words] = 1
+        out.append(int((np.diff(np.concatenate([[0], held])) == 1).sum()))
+    return out

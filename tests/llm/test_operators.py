@@ -58,7 +58,10 @@ def test_repeats(docs, awkward, monkeypatch, batches, hot, slice_):
     monkeypatch.setattr(suffixes, "SLICE", slice_)
     done = suffixes.remove_repeats(docs, batches=batches)
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s.b - s.a)
+    done = done.cache()
     assert rows_of(done.select("doc_id", "n_bytes", removed, F.size("spans"), sha("kept"))) == sorted(brute.repeats(awkward), key=repr)
+    want = [(i, n) for (i, _), n in zip(awkward, brute.passages(awkward), strict=True)]
+    assert rows_of(done.select("doc_id", "n_passages")) == sorted(want, key=repr) and sum(n for _, n in want) > 5
 
 
 def test_index_family_merges_levels(spark, docs):
