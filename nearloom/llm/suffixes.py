@@ -235,7 +235,8 @@ class IndexFamily:
         self.found: DataFrame | None = None  # anchors that recur
 
     def _sorted(self, rows: DataFrame) -> DataFrame:
-        return self.scratch.put(rows.repartition(shuffle_partitions(rows.sparkSession), "h").sortWithinPartitions("p", "h"))
+        dealt = rows.repartition(shuffle_partitions(rows.sparkSession), F.col("h"), F.pmod("k1", F.lit(SALTS)))  # an anchor may hold a third of all rows
+        return self.scratch.put(dealt.sortWithinPartitions("p", "h"))
 
     def add(self, texts: DataFrame) -> None:
         """``texts``: k1, k2 (a hash of the text) and text."""
