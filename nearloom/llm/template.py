@@ -207,7 +207,7 @@ def templates(pages: DataFrame, scratch: Scratch) -> DataFrame:
     first = [F.max(c).alias(c) for c in ("text", "n", "path", "chars", "linked")]
     once = tokens.groupBy("host", "page", "token").agg(*first)
     vector = F.sum(F.xxhash64("page", "n").cast("decimal(20,0)"))
-    vectors = scratch.put(once.groupBy("host", "token").agg(vector.alias("vector"), F.count(F.lit(1)).alias("support"), F.max("text").alias("text"), F.max("path").alias("path"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked")))
+    vectors = scratch.put(once.groupBy("host", "token").agg(vector.alias("vector"), F.count(F.lit(1)).alias("support"), F.max("text").alias("text"), F.max("path").alias("path"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked")).where(~F.col("text") | (F.col("support") >= LEAST)))
     size = scratch.put(vectors.groupBy("host").agg(F.max("support").alias("pages")))  # the root element stands on all
     few = F.broadcast(size) if size.count() <= BROADCAST_IDS else size
     frequent = scratch.put(vectors.join(few, "host").where(F.col("support") >= SUPPORT * F.col("pages")))
