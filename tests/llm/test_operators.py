@@ -1,6 +1,7 @@
 """The operators against brute force, on inputs with every awkward case."""
 
 import hashlib
+import random
 import zlib
 
 import numpy as np
@@ -94,6 +95,71 @@ def test_chain_of_near_copies_in_one_bucket(spark):
     assert got == brute.components(rows, 2)
 
 
+def family(seed, many, planted, p=13, near=18):
+    """Versions of one text, none linked with another; every ``planted``-th has a near copy, linked with it alone.
+
+    In segment s of 2 p words version i has a word of its own at twice a quadratic in s modulo p,
+    so two versions agree in two of their own places at most.
+    """
+    r = random.Random(seed)
+    rows, pairs = [], []
+    for i in range(many):
+        text = [f"w{j}" for j in range(2 * p * p)]
+        own = [2 * p * s + 2 * ((i % p + i // p % p * s + i // p // p * s * s) % p) for s in range(p)]
+        for j in own:
+            text[j] = f"x{i}y{j}"
+        rows.append((2 * i, " ".join(text)))
+        if i % planted == 0:
+            for j in r.sample([j for j in range(0, 2 * p * p, 2) if j not in own], near):
+                text[j] = f"z{i}y{j}"
+            rows.append((2 * i + 1, " ".join(text)))
+            pairs.append((2 * i, 2 * i + 1))
+    r.shuffle(rows)
+    return rows, pairs
+
+
+def test_no_link_is_lost_in_a_large_group_of_versions(spark):
+    rows, pairs = family(1, 700, 10)
+    texts = dict(rows)
+    for a, b in pairs:
+        x, y = (brute.shingles(texts[i], 2) for i in (a, b))
+        assert 100 * len(x & y) >= 80 * len(x | y)
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), k=2).collect()}
+    assert all(got[a] == a == got[b] for a, b in pairs) and len(set(got.values())) == 700
+
+
+@pytest.mark.parametrize(("large", "block", "shared"), [(64, 1024, 4), (2, 3, 4), (2, 1024, 1), (8, 20, 9)])
+def test_the_rest_is_exact_without_stars(spark, monkeypatch, awkward, large, block, shared):
+    rows = family(2, 60, 3)[0] + [(1000 + i, t) for i, t in awkward if i is not None]
+    for name, value in (("LARGE", large), ("BLOCK", block), ("SHARED", shared)):
+        monkeypatch.setattr(neardup, name, value)
+    monkeypatch.setattr(neardup, "_first_stars", lambda buckets: buckets.select(F.col("id").alias("a"), F.col("id").alias("b")).where("a <> b"))
+    monkeypatch.setattr(neardup, "_later_stars", lambda rows: rows.select(F.col("id").alias("a"), F.col("id").alias("b")).where("a <> b"))
+    for k in (2, 5):
+        got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=k).collect()}
+        assert got == brute.components(rows, k)
+
+
+def test_filters_let_no_link_go():
+    g = np.random.default_rng(3)
+    for n in (1, 4, 5, 9, 60, 700, 30_000):
+        for _ in range(20):
+            common, more = g.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2), g.integers(0, n // 4 + 1, 2)
+            if more.sum() > n // 4:
+                more = more // 2
+            a, b = (np.unique(np.concatenate([common, g.integers(0, 1 << 63, m, dtype=np.uint64)])) for m in more)
+            both = len(np.intersect1d(a, b))
+            if 100 * both >= 80 * (len(a) + len(b) - both):
+                x, y = (np.frombuffer(neardup.counts(v), np.uint8) for v in (a, b))
+                assert neardup.reachable(x[None], y[None], np.array([len(a)]), np.array([len(b)]), 80)[0]
+                listed = np.sort(g.choice(common, n // 2, False))
+                frequent = listed, g.integers(2, 9, len(listed))
+                p, q = (neardup.prefix(v, frequent, 80) for v in (a, b))
+                assert len(np.intersect1d(p, q)) >= min(neardup.SHARED, both)
+    x, y = (np.frombuffer(neardup.counts(g.integers(0, 1 << 63, 300, dtype=np.uint64)), np.uint8) for _ in range(2))
+    assert not neardup.reachable(x[None], y[None], np.array([300]), np.array([300]), 80)[0]
+
+
 def test_sketches_merge_and_estimate():
     g = np.random.default_rng(0)
     for share in (0.5, 0.8, 0.95):
