@@ -97,3 +97,15 @@ def test_forward_pass_against_a_plain_one():
         p = sigmoid(logits).mean()
         want.append((logits.max(), np.log(p / (1 - p))))
     assert np.allclose(toxicity.features(gru.WordTable(w), texts), want, atol=2e-4)
+
+
+def test_training_runs_in_tasks(spark, monkeypatch):
+    rows = [(i, f"{'vile' if i % 2 else 'kind'} words number {i}") for i in range(120)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
+
+    def on_the_driver(*_, **__):
+        raise AssertionError("the driver trains")
+
+    monkeypatch.setattr(gru, "train", on_the_driver)
+    scores = {r.doc_id: r.score for r in toxicity.score(docs, toxicity.fit(docs, labels)).collect()}
+    assert all(scores[i] > scores[i - 1] for i in range(1, 120, 2))
