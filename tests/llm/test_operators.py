@@ -95,22 +95,22 @@ def test_chain_of_near_copies_in_one_bucket(spark):
     assert got == brute.components(rows, 2)
 
 
-def family(seed, many, planted, p=13, near=18):
+def family(seed, many, planted, step=2, p=13, near=18):
     """Versions of one text, none linked with another; every ``planted``-th has a near copy, linked with it alone.
 
-    In segment s of 2 p words version i has a word of its own at twice a quadratic in s modulo p,
+    In segment s of step * p words version i has a word of its own at step times a quadratic in s modulo p,
     so two versions agree in two of their own places at most.
     """
     r = random.Random(seed)
     rows, pairs = [], []
     for i in range(many):
-        text = [f"w{j}" for j in range(2 * p * p)]
-        own = [2 * p * s + 2 * ((i % p + i // p % p * s + i // p // p * s * s) % p) for s in range(p)]
+        text = [f"w{j}" for j in range(step * p * p)]
+        own = [step * p * s + step * ((i % p + i // p % p * s + i // p // p * s * s) % p) for s in range(p)]
         for j in own:
             text[j] = f"x{i}y{j}"
         rows.append((2 * i, " ".join(text)))
         if i % planted == 0:
-            for j in r.sample([j for j in range(0, 2 * p * p, 2) if j not in own], near):
+            for j in r.sample([j for j in range(0, step * p * p, step) if j not in own], near):
                 text[j] = f"z{i}y{j}"
             rows.append((2 * i + 1, " ".join(text)))
             pairs.append((2 * i, 2 * i + 1))

@@ -5,6 +5,7 @@ from nearloom.llm import toxicity
 from nearloom.llm.common import table
 from tests.compare import spark_rows, sql_rows
 from tests.llm import brute
+from tests.llm.test_operators import family
 
 
 def test_stages(spark, sf_dir, tmp_path):
@@ -60,3 +61,14 @@ def test_stages_on_awkward_rows(spark, sf_dir, docs, awkward):
     assert pipeline.drop_toxic(spark, rows, sf_dir).columns == pipeline.COLUMNS
     assert {r.doc_id for r in pipeline.pack(spark, rows, sf_dir).collect()} == {i for i, _ in every}
     assert all(f(spark, rows.limit(0), sf_dir).count() == 0 for _, f in pipeline.STAGES)
+
+
+def test_near_copies_in_a_large_group_of_versions_go(spark, sf_dir):
+    rows, pairs = family(3, 500, 10, step=5)
+    texts = dict(rows)
+    for a, b in pairs:
+        x, y = (brute.shingles(texts[i], 5) for i in (a, b))
+        assert 100 * len(x & y) >= 80 * len(x | y)
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    left = {r.doc_id for r in pipeline.drop_near_copies(spark, docs, sf_dir).select("doc_id").collect()}
+    assert left == {i for i, _ in rows} - {b for _, b in pairs}
