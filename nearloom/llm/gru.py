@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 
+from nearloom.llm.common import release
 from nearloom.llm.shingles import mix, powers, prefix_hashes
 
 CHARS = 20  # bytes of a word unit; longer words are several units
@@ -17,7 +18,7 @@ WORDS = 48  # words of a window
 STRIDE = 32
 BUCKETS = 8192
 H = 8  # states of each direction
-PART = 1 << 19  # bytes hashed at once; also units scored at once in training, by an eighth
+PART = 1 << 17  # bytes hashed at once; half as many units are scored at once in training
 
 _WORD_BYTE = np.zeros(256, bool)
 _WORD_BYTE[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
@@ -26,8 +27,9 @@ _WORD_BYTE[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
 def units(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """All word units of the texts: the lower-cased buffer, starts, lengths, and how many each text has."""
     buffer = np.frombuffer(b"\n".join(texts).lower() + b"\n", np.uint8)
-    edge = np.flatnonzero(np.diff(np.concatenate([[False], _WORD_BYTE[buffer]]).astype(np.int8)))
-    starts, lengths = edge[::2], edge[1::2] - edge[::2]
+    edge = np.flatnonzero(np.diff(_WORD_BYTE[buffer], prepend=False))
+    starts, lengths = edge[::2].copy(), edge[1::2] - edge[::2]
+    del edge
     if len(lengths) and lengths.max() > CHARS:
         parts = -(-lengths // CHARS)
         nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
@@ -183,7 +185,7 @@ class WordTable:
             part = new[at : at + 8192]
             vector = word_vectors(self.w, buffer, starts[first[part]], lengths[first[part]], (hashes[part] % BUCKETS).astype(np.int64))[0]
             while self.used + len(part) > len(self.rows):
-                self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+                self.rows = np.concatenate([self.rows, np.zeros((min(len(self.rows), max(self.most, self.used + len(part)) - len(self.rows)), 6 * H), np.float32)])
             self.rows[self.used : self.used + len(part)] = vector @ self.wx + self.wb
             row[part] = np.arange(self.used, self.used + len(part))
             self.known.update(zip(hashes[part].tolist(), row[part].tolist(), strict=True))
@@ -199,7 +201,7 @@ def _pool(w: dict, states: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np
     return pooled @ w["out"] + w["bias"], a, pooled
 
 
-def window_logits(table: WordTable, row: np.ndarray, first: np.ndarray, length: np.ndarray, block: int = 1024) -> np.ndarray:
+def window_logits(table: WordTable, row: np.ndarray, first: np.ndarray, length: np.ndarray, block: int = 512) -> np.ndarray:
     w, out = table.w, np.empty(len(first), np.float32)
     row = np.concatenate([row, [0]])
     t = np.arange(WORDS)[:, None]
@@ -277,7 +279,7 @@ def train(texts: list[bytes], labels: np.ndarray, steps: int = 400, batch: int =
     own = np.diff(at)
     chance = np.repeat(1 / own, own)
     upto_units = np.cumsum([0, *counts])
-    cuts = np.unique(np.searchsorted(upto_units, [*range(0, upto_units[-1], PART // 8), upto_units[-1]])).tolist()
+    cuts = np.unique(np.searchsorted(upto_units, [*range(0, upto_units[-1], PART // 2), upto_units[-1]])).tolist()
     cuts = [*dict.fromkeys([0, *cuts, len(texts)])]
     y = np.asarray(labels, np.float32)[text]
     positive, negative, n = np.flatnonzero(np.asarray(labels) == 1), np.flatnonzero(y == 0), batch // 3
@@ -291,9 +293,11 @@ def train(texts: list[bytes], labels: np.ndarray, steps: int = 400, batch: int =
                 u, v, own_windows = upto_units[a], upto_units[b], slice(at[a], at[b])
                 row = table.lookup(buffer, starts[u:v], lengths[u:v])
                 logit[own_windows] = window_logits(table, row, first[own_windows] - u, length[own_windows])
+                release()
+            del table
+            release()
             likely = np.exp(np.clip(logit - np.repeat(np.maximum.reduceat(logit, at[:-1]), own), -30, 0) * min(2.0, 4 * done / steps))
             chance = likely / np.repeat(np.add.reduceat(likely, at[:-1]), own)
-            del table
         upto, t = np.cumsum(chance), g.choice(positive, n)
         before = upto[at[t]] - chance[at[t]]
         found = np.clip(np.searchsorted(upto, before + g.random(n) * (upto[at[t + 1] - 1] - before)), at[t], at[t + 1] - 1)

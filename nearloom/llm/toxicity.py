@@ -43,10 +43,11 @@ def features(table: gru.WordTable, texts: list[bytes]) -> np.ndarray:
     logit = gru.window_logits(table, table.lookup(buffer, starts, lengths), first, length).astype(np.float64)
     at = np.searchsorted(text, np.arange(len(texts)))
     p = np.clip(np.add.reduceat(1 / (1 + np.exp(-logit)), at) / np.bincount(text), 1e-6, 1 - 1e-6)
+    release()
     return np.stack([np.maximum.reduceat(logit, at), np.log(p / (1 - p))], 1)
 
 
-def _slices(batch: pa.RecordBatch, size: int = FLUSH_BYTES // 8) -> Iterator[pa.RecordBatch]:
+def _slices(batch: pa.RecordBatch, size: int = FLUSH_BYTES // 16) -> Iterator[pa.RecordBatch]:
     step = max(1, batch.num_rows * size // max(1, batch.nbytes))
     for at in range(0, batch.num_rows, step):
         yield batch.slice(at, step)

@@ -1,5 +1,10 @@
 """The recurrent classifier: gradients, windows, and what it learns."""
 
+import os
+import subprocess
+import sys
+from pathlib import Path
+
 import numpy as np
 
 from nearloom.llm import gru, toxicity
@@ -109,3 +114,24 @@ def test_training_runs_in_tasks(spark, monkeypatch):
     monkeypatch.setattr(gru, "train", on_the_driver)
     scores = {r.doc_id: r.score for r in toxicity.score(docs, toxicity.fit(docs, labels)).collect()}
     assert all(scores[i] > scores[i - 1] for i in range(1, 120, 2))
+
+
+def test_scoring_gives_memory_back():
+    """In a process of its own: MB beyond the texts that are kept after scoring."""
+    code = """
+import re
+import numpy as np
+import pyarrow as pa
+from nearloom.llm import gru, toxicity
+g = np.random.default_rng(1)
+words = [b"%x" % i for i in g.integers(1 << 20, 1 << 30, 60_000)]
+texts = [b" ".join(words[i] for i in g.integers(0, len(words), 500)) for _ in range(3000)]
+mb = lambda key: int(re.search(key + r":\\s+(\\d+)", open("/proc/self/status").read())[1]) / 1024
+before = mb("VmRSS")
+table = gru.WordTable(gru.new_weights())
+for part in toxicity._slices(pa.record_batch([pa.array(texts)], ["t"])):
+    toxicity.features(table, part.column(0).to_pylist())
+print(mb("VmRSS") - before)
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=Path(gru.__file__).parents[2], env=os.environ | {"OMP_NUM_THREADS": "2"})
+    assert float(done.stdout) < 108
