@@ -250,3 +250,32 @@ def test_toxicity(spark, sf_dir, docs):
     assert toxicity.score(docs.limit(0), model).count() == 0
     split = {r.doc_id: r.h for r in docs.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("h")).collect()}
     assert all(h == (i is not None and zlib.crc32(str(i).encode()) % 4 == 2) for i, h in split.items())
+
+
+def test_only_links_come_back_from_large_buckets(spark, monkeypatch):
+    """Versions just below the threshold: their pairs grow with the square of the group, those to confirm must not."""
+    rows, pairs = family(4, 400, 20)
+    rest, found = neardup._rest, []
+
+    def counted(*of):
+        out = rest(*of)
+        found.append(out.count())
+        return out
+
+    monkeypatch.setattr(neardup, "_rest", counted)
+    neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), k=2)
+    assert found[0] <= 2 * len(pairs)
+
+
+def test_most_shared_is_never_too_low():
+    g = np.random.default_rng(6)
+    pool = g.integers(0, 1 << 63, 4000, dtype=np.uint64) * np.uint64(2)
+    pool[:900] = pool[:900] % np.uint64(1 << 50)  # many of one class
+    sets = [np.unique(g.choice(pool, n)) for n in (1, 2, 50, 900, 3000, 3000)]
+    classes = [np.frombuffer(neardup.folded(x), "<u2") for x in sets]
+    nths = [neardup.nth(c) for c in classes]
+    for x, c in zip(sets, classes, strict=True):
+        want = np.array([len(np.intersect1d(x, y)) for y in sets])
+        got = neardup.most_shared(c, classes, nths)
+        assert (got >= want).all() and (got <= np.minimum(len(x), [len(y) for y in sets])).all()
+        assert (got - want).max() <= 950 and neardup.most_shared(c, [c], [neardup.nth(c)])[0] == len(x)
