@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from nearloom.functions import distances
 from nearloom.operators.knn import knn
-from nearloom.operators.knn_join import FOUND, Nearest, asked_of, exact_distances, in_blocks, ranked, vectors_of
+from nearloom.operators.knn_join import ASKED_TILE, DEALT, FOUND, ROW_TILE, Nearest, Screen, asked_of, in_blocks, ranked, vectors_of
 
 CODE = "bits array<bigint>, norm float, vdot float"
 
@@ -168,8 +168,10 @@ def least_distances(sign: np.ndarray, norm: np.ndarray, vdot: np.ndarray, q: np.
 def near_codes(coded: DataFrame, block, k: int, center: Sequence[float], metric: str, oversample: int = 3, key: str = "key", vec: str = "vec") -> DataFrame:
     """``qid, key, dist``: for each query of ``block`` the nearest ``k`` of each task's rows, by codes first.
 
-    ``coded``: key, vec, code.  In each batch the ``k * oversample`` rows nearest by their codes set
-    the limit; of the others only those whose code allows a distance within it are looked at.
+    ``coded``: key, vec and maybe code, which is made here if it is not there.  In each batch the ``k * oversample`` rows nearest by their codes set
+    the limit; of the others only those whose code allows a distance within it, and which a matrix
+    product does not rule out, are computed exactly, in pieces: at 64 dimensions the codes alone leave
+    nearly all pairs of a tile.
     """
     metric, middle = distances.metric_name(metric), np.array(center, np.float64)
     dims = len(middle)
@@ -179,29 +181,29 @@ def near_codes(coded: DataFrame, block, k: int, center: Sequence[float], metric:
         if len(q) and q.shape[1] != dims:
             raise ValueError(f"query vectors must have {dims} dimensions")
         own_words, own_norm, own_vdot = encode(q, middle, metric)
-        own = signs(own_words, dims)
-        best = Nearest(len(ids), k)
+        best, screen = Nearest(len(ids), k), Screen(metric, q, middle)
         for batch in batches:
-            for a in range(0, batch.num_rows, 4096):
-                part = batch.slice(a, 4096)
-                keys, x, code = part.column(0).to_numpy(), vectors_of(part.column(1), dims), part.column(2)
-                sign = signs(vectors_of(code.field("bits")), dims)
-                norm, vdot = code.field("norm").to_numpy().astype(np.float64), code.field("vdot").to_numpy().astype(np.float64)
-                for b in range(0, len(ids), 512):
-                    at = slice(b, min(b + 512, len(ids)))
-                    agree = own[at] @ sign.T / dims
+            for a in range(0, batch.num_rows, ROW_TILE):
+                part = batch.slice(a, ROW_TILE)
+                keys, x = part.column(0).to_numpy(), vectors_of(part.column(1), dims)
+                code = part.column(2) if part.num_columns > 2 else None
+                words, norm, vdot = encode(x, middle, metric) if code is None else (vectors_of(code.field("bits")), code.field("norm").to_numpy(), code.field("vdot").to_numpy())
+                sign, held, norm, vdot = signs(words, dims), screen.rows(x), norm.astype(np.float64), vdot.astype(np.float64)
+                for b in range(0, len(ids), ASKED_TILE):
+                    at = slice(b, min(b + ASKED_TILE, len(ids)))
+                    agree = signs(own_words[at], dims) @ sign.T / dims
                     guess = norm[None, :] ** 2 - 2 * own_norm[at][:, None] * norm[None, :] * own_vdot[at][:, None] * vdot[None, :] * agree
                     n = min(k * oversample, len(keys))
                     first = np.zeros(guess.shape, bool)
                     np.put_along_axis(first, np.argpartition(guess, n - 1, axis=1)[:, :n], True, axis=1)
-                    query, row = np.nonzero(first)
-                    best.offer(query + b, keys[row], exact_distances(metric, q[at][query], x[row]))
+                    screen.compare(best, at, keys, x, first)
                     rest = ~first & (least_distances(sign, norm, vdot, q[at], middle, metric) <= best.limit(at)[:, None])
-                    query, row = np.nonzero(rest)
-                    best.offer(query + b, keys[row], exact_distances(metric, q[at][query], x[row]))
-        yield best.rows(ids)
+                    rest &= screen.passing(at, best, keys, x, held)
+                    screen.compare(best, at, keys, x, rest)
+        for a in range(0, len(ids), DEALT):
+            yield best.rows(ids, slice(a, a + DEALT))
 
-    return coded.select(F.col(key).cast("long"), F.col(vec).cast("array<float>"), "code").mapInArrow(f, FOUND)
+    return coded.select(F.col(key).cast("long"), F.col(vec).cast("array<float>"), *[c for c in coded.columns if c == "code"]).mapInArrow(f, FOUND)
 
 
 def search_join(queries: DataFrame, items: DataFrame, k: int, center: Sequence[float], metric: str = "l2sq", query_key: str = "qid", query_vec: str = "qvec", key: str = "vec_id", vec: str = "embedding", oversample: int = 3) -> DataFrame:
@@ -209,5 +211,4 @@ def search_join(queries: DataFrame, items: DataFrame, k: int, center: Sequence[f
     if oversample <= 0:
         raise ValueError("hnsw_rabitq_oversample must be greater than 0")
     rows = items.where(F.col(vec).isNotNull())
-    coded = rows if "code" in items.columns else with_code(rows, center, metric, vec)
-    return ranked(in_blocks(asked_of(queries, query_key, query_vec), lambda shared: near_codes(coded, shared, k, center, metric, oversample, key, vec)), k)
+    return ranked(in_blocks(asked_of(queries, query_key, query_vec), lambda shared: near_codes(rows, shared, k, center, metric, oversample, key, vec)), k)
