@@ -1,7 +1,7 @@
 """A hierarchical proximity graph in numpy, searched with or without a predicate.
 
-Built as published: every node gets a random level, is linked on each of its levels to diverse
-near neighbours, and a search descends greedily and ends with a bounded beam on the lowest level.
+Every node gets a random level and is linked on each of its levels to diverse near neighbours, as
+published; these are not sought by walks but by matrix products, for many nodes at once.  A search descends greedily and ends with a bounded beam on the lowest level.
 With a predicate the beam steps over nodes that fail: it goes on to their neighbours (and a third
 hop while few results are known), so that sparse predicates do not cut the graph apart.
 """
@@ -14,6 +14,10 @@ import math
 import numpy as np
 
 
+#: Nodes linked at once, and pairs of candidates compared at once.
+TILE, PAIRS = 256, 1 << 22
+
+
 class Graph:
     def __init__(self, dims: int, metric: str = "l2sq", m: int = 16, m0: int = 32, ef_construction: int = 128, seed: int = 0) -> None:
         self.metric, self.m, self.m0, self.ef_construction = metric, m, m0, ef_construction
@@ -89,41 +93,75 @@ class Graph:
                         heapq.heappop(top)
         return sorted((-v, -n) for v, n in top)
 
-    def _diverse(self, found: list[tuple[float, int]], most: int) -> list[int]:
-        """Candidates nearer to the node than to any neighbour kept before them."""
-        kept: list[int] = []
-        for d, n in found:
-            if len(kept) >= most:
-                break
-            if not kept or float(self.distances(self.x[n], kept).min()) > d:
-                kept.append(n)
+    def _between(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Distances of all pairs [..., a, b], by a product."""
+        dot = a @ np.swapaxes(b, -1, -2)
+        if self.metric != "l2sq":
+            return 1.0 - dot
+        return np.maximum((a * a).sum(-1)[..., :, None] + (b * b).sum(-1)[..., None, :] - 2 * dot, 0)
+
+    def _diverse(self, v: np.ndarray, near: np.ndarray, d: np.ndarray, most: int) -> np.ndarray:
+        """Which of the candidates ``near`` [nodes, n], nearest first (infinite: none), are nearer to the node than to any kept before them."""
+        kept = np.zeros(d.shape, bool)
+        between, least, count = self._between(v[near], v[near]), np.full(d.shape, np.inf, np.float32), np.zeros(len(d), int)
+        for c in range(d.shape[1]):
+            kept[:, c] = ok = (least[:, c] > d[:, c]) & (count < most) & np.isfinite(d[:, c])
+            count += ok
+            some = np.flatnonzero(ok)
+            least[some, c + 1 :] = np.minimum(least[some, c + 1 :], between[some, c, c + 1 :])
         return kept
 
+    def _linked(self, v: np.ndarray, first: int, last: int, links: list[list[int]], most: int) -> None:
+        """Link the nodes ``first`` to ``last`` of ``v`` with near ones before ``last``, and these with them."""
+        c = min(self.ef_construction, last - 1)
+        back: dict[int, list[int]] = {}
+        for a in range(first, last, TILE):
+            at = np.arange(a, min(a + TILE, last))
+            d = self._between(v[at], v[:last])
+            d[np.arange(len(at)), at] = np.inf
+            near = np.argpartition(d, c - 1, axis=1)[:, :c]
+            near = np.take_along_axis(near, np.lexsort((near, np.take_along_axis(d, near, 1)), axis=1), 1)
+            for node, found, kept in zip(at.tolist(), near, self._diverse(v, near, np.take_along_axis(d, near, 1), self.m), strict=True):
+                links[node] = found[kept].tolist()
+                for n in links[node]:
+                    back.setdefault(n, []).append(node)
+        full: list[tuple[int, list[int]]] = []
+        for n, more in back.items():
+            links[n] = list(dict.fromkeys(links[n] + more))
+            if len(links[n]) > most:
+                full.append((n, links[n]))
+        full.sort(key=lambda x: -len(x[1]))
+        while full:
+            width = len(full[0][1])
+            some, full = full[: max(1, PAIRS // width**2)], full[max(1, PAIRS // width**2) :]
+            near = np.zeros((len(some), width), int)
+            there = np.arange(width)[None, :] < np.array([len(x) for _, x in some])[:, None]
+            near[there] = np.concatenate([x for _, x in some])
+            d = np.where(there, self._between(v[[n for n, _ in some]][:, None, :], v[near])[:, 0, :], np.inf)
+            order = np.argsort(d, axis=1, kind="stable")
+            near, d = np.take_along_axis(near, order, 1), np.take_along_axis(d, order, 1)
+            for (n, _), found, kept in zip(some, near, self._diverse(v, near, d, most), strict=True):
+                links[n] = found[kept].tolist()
+
     def build(self, x: np.ndarray) -> Graph:
+        """Nodes come in rounds, each as many as there are; near ones are found by a matrix product."""
         self.x = self.prepared(x)
-        scale = 1 / math.log(self.m)
-        levels = np.floor(-np.log(1 - self._random.random(len(self.x))) * scale).astype(int)
-        for node, level in enumerate(levels.tolist()):
-            self.links.append([[] for _ in range(level + 1)])
-            if self.entry < 0:
-                self.entry = node
-                continue
-            q, at = self.x[node], self.entry
-            for l in range(self.top_level, level, -1):
-                at = self._greedy(q, at, l)
-            for l in range(min(level, self.top_level), -1, -1):
-                found = self._beam(q, at, self.ef_construction, l)
-                most = self.m0 if l == 0 else self.m
-                self.links[node][l] = self._diverse(found, self.m)
-                for n in self.links[node][l]:
-                    back = self.links[n][l]
-                    back.append(node)
-                    if len(back) > most:
-                        d = self.distances(self.x[n], back)
-                        self.links[n][l] = self._diverse(sorted(zip(d.tolist(), back, strict=True)), most)
-                at = found[0][1]
-            if level > self.top_level:
-                self.entry = node
+        levels = np.floor(-np.log(1 - self._random.random(len(self.x))) / math.log(self.m)).astype(int)
+        self.links = [[[] for _ in range(level + 1)] for level in levels.tolist()]
+        if not len(self.x):
+            return self
+        self.entry = int(np.argmax(levels))
+        around = self.x.astype(np.float64).mean(0) if self.metric == "l2sq" else 0.0
+        for level in range(self.top_level + 1):
+            nodes = np.flatnonzero(levels >= level)
+            v, links = (self.x[nodes] - around).astype(np.float32), [[] for _ in nodes]
+            last = min(len(nodes), 2 * self.ef_construction)
+            first = 0
+            while first < len(nodes) > 1:
+                self._linked(v, first, last, links, self.m0 if level == 0 else self.m)
+                first, last = last, min(len(nodes), 2 * last)
+            for node, near in zip(nodes.tolist(), links, strict=True):
+                self.links[node][level] = nodes[near].tolist()
         return self
 
     def exact(self, q: np.ndarray, k: int, allowed: np.ndarray | None = None) -> list[tuple[float, int]]:

@@ -10,6 +10,7 @@ from nearloom.operators import knn_join as joins
 from nearloom.operators import rabitq
 from nearloom.operators.graph import Graph
 from nearloom.operators.index import VectorIndex
+from nearloom.operators.knn_join import exact_distances
 
 VEC = "vec_id long, embedding array<float>, label int"
 
@@ -178,3 +179,42 @@ def test_index_is_found_by_metric_and_survives_a_crash(spark, modular, tmp_path)
     assert VectorIndex.load(spark, str(tmp_path / "b")).info().first().capacity == 500
     plan = again._planned(3, modular.where("label = 2").select("vec_id"))[0]._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(shard" not in plan and len(again.search([3.0, 4.0, 5.0], 5, modular.where("label = 2").select("vec_id")).collect()) == 5
+
+
+def test_graph_build_is_quick_and_near_all_of_its_candidates_are_compared_by_products():
+    """index_info, hnsw_*: 5,000 rows took 39 s, one walk and many small arrays for each node."""
+    g, calls = np.random.default_rng(5), []
+    x = g.standard_normal((3000, 32)).astype(np.float32)
+
+    class Counted(Graph):
+        def distances(self, q, nodes):
+            calls.append(len(nodes))
+            return super().distances(q, nodes)
+
+    graph = Counted(32).build(x)
+    assert not calls and all(len(near) <= (32 if level == 0 else 16) for links in graph.links for level, near in enumerate(links))
+    assert all(i not in near and len(near) == len(set(near)) for i, links in enumerate(graph.links) for near in links)
+    hit = sum(len({n for _, n in graph.search(v, 10, 128)} & {n for _, n in graph.exact(v, 10)}) for v in x[::100])
+    assert hit >= 0.9 * 10 * len(x[::100])
+
+
+@pytest.mark.parametrize("metric", ["l2sq", "cosine", "ip"])
+def test_joins_by_an_index_find_copies_by_key(spark, tmp_path, metric):
+    """hnsw_search: of 30 copies of each vector a walk finds any ten."""
+    g = np.random.default_rng(6)
+    base = g.standard_normal((20, 8)).astype(np.float32)
+    base[3] = 0
+    x = np.tile(base, (30, 1))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    index = VectorIndex.create(rows, str(tmp_path / "i"), "i", metric=metric, shard_rows=200)
+    asked = rows.where("vec_id < 20").toDF("qid", "qvec")
+    for allowed, keys in ((None, np.arange(600)), (rows.where("vec_id % 7 = 1"), np.arange(1, 600, 7))):
+        found = {i: [] for i in range(20)}
+        for r in index.join(asked, 12, allowed=allowed).orderBy("qid", "rank").collect():
+            found[r.qid].append((r.key, round(r.dist, 5)))
+        for i in range(20):
+            with np.errstate(invalid="ignore"):
+                d = exact_distances(metric, np.broadcast_to(x[i], x[keys].shape), x[keys])
+            d = np.where(np.isnan(d), 1.0, d)
+            best = np.lexsort((keys, d))[:12]
+            assert found[i] == [(int(keys[n]), round(float(d[n]), 5)) for n in best]
